@@ -1 +1,55 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: each stage works on all that its predecessor kept.
+
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns
+a DataFrame, which is written as Parquet and read again as the next stage's ``docs``. All
+but the last return the columns of ``documents``. A text that a stage empties goes with
+its document; NULL texts are rejected by the first stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidepanel.llm import decontaminate, lines, packing, quality
+from tidepanel.llm.common import cut, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule or host verdict rejects."""
+    return quality.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the recurring lines of other documents."""
+    return lines.drop_recurring(docs).drop("n_dropped")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of the planned slots of all documents' pieces."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Templates of lines and best-fit packing are iterative: SQL can't express them.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result but the last is a table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, name.replace(" ", "-"))
+    return docs

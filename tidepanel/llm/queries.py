@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import chat, decontaminate, packing
+from tidepanel.llm import chat, decontaminate, html, lines, packing, quality, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
+    "op3_quality_rules": quality.op3,
+    "op6_warc_revisits": warc.op6,
+    "op7_line_dedup": lines.op7,
     "op8_best_fit_packing": packing.op8,
+    "op9_html_extraction": html.op9,
     "op10_chat_formatting": chat.op10,
 }
 
 ORACLE_SQL = {
+    "op3_quality_rules": quality.SQL,
+    "op6_warc_revisits": warc.SQL,
     "op10_chat_formatting": chat.SQL,
 }
