@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import decontaminate, lines, packing, quality
+from tidepanel.llm import decontaminate, lines, packing, quality, simhash
 from tidepanel.llm.common import cut, table
 
 
@@ -24,6 +24,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.drop_recurring(docs).drop("n_dropped")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the lowest id, of each group of near duplicates."""
+    return simhash.clean(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -37,6 +42,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("best-fit packing", best_fit_packing),
 ]

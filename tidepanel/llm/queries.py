@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import chat, decontaminate, html, lines, packing, quality, warc
+from tidepanel.llm import anchors, chat, decontaminate, html, lines, packing, quality, simhash, suffixes, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
+    "op2_suffix_array_repeats": suffixes.op2,
     "op3_quality_rules": quality.op3,
+    "op4_anchor_repeats": anchors.op4,
+    "op5_simhash_near_dedup": simhash.op5,
     "op6_warc_revisits": warc.op6,
     "op7_line_dedup": lines.op7,
     "op8_best_fit_packing": packing.op8,
