@@ -142,6 +142,8 @@ def improvement_pct(baseline: Column | str, model: Column | str) -> Column:
 
 def lookup(x: Column | str, mapping: dict[str, str]) -> Column:
     """Dictionary map; unmapped -> NULL (see ``normalize.unmapped``)."""
+    if not mapping:
+        return F.when(c(x).isNull(), F.lit(None).cast("string"))
     return F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])[c(x)]
 
 

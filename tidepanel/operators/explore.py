@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import expr as X
 
-zero = F.lit(0)
+def total(x: str):
+    """Sum that is 0, not NULL, without values."""
+    return F.coalesce(F.sum(x), F.lit(0))
 
 
 def national_monthly(gold: DataFrame) -> DataFrame:
     """Sums over territories; a month without any value is 0, not NULL."""
-    s = lambda x: F.coalesce(F.sum(x), zero).alias(x)
-    return gold.groupBy("date_month").agg(s("travellers_total"), s("overnight_stays_total"))
+    return gold.groupBy("date_month").agg(*(total(x).alias(x) for x in ("travellers_total", "overnight_stays_total")))
 
 
 def annual_summary(gold: DataFrame) -> DataFrame:
     """Years with all twelve months."""
     out = gold.groupBy("year").agg(
-        F.coalesce(F.sum("overnight_stays_total"), zero).alias("overnight_stays_total"),
+        total("overnight_stays_total").alias("overnight_stays_total"),
         F.count_distinct("month_id").alias("months"),
         F.bool_or("is_provisional").alias("any_provisional"),
     )
@@ -50,7 +51,7 @@ def ranking(gold: DataFrame, year: int, top: int) -> DataFrame:
 
 def foreign_share(gold: DataFrame, keys: list[str]) -> DataFrame:
     """Share of sums, not mean of shares."""
-    d, f = F.coalesce(F.sum("overnight_stays_domestic"), zero), F.coalesce(F.sum("overnight_stays_foreign"), zero)
+    d, f = total("overnight_stays_domestic"), total("overnight_stays_foreign")
     return gold.groupBy(*keys).agg(d.alias("domestic"), f.alias("foreign"), X.safe_divide(f, d + f).alias("foreign_share"))
 
 
