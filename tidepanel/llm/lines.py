@@ -162,7 +162,8 @@ def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: f
     drops = cut(hits.groupBy("id").agg(F.collect_set("no").alias("_drops")).withColumnRenamed("id", "_id"), "drops")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drops", i))
     text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = documents.join(drops, F.col("doc_id") == F.col("_id"), "left").withColumn("_text", text)
+    # the same plan at every size: an automatic broadcast would switch to this one anyway
+    out = documents.join(drops.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_text", text)
     out = out.where(F.col("_drops").isNull() | F.col("_text").rlike(r"\S"))
     cols = [F.col("_text").alias(c) if c == "text" else F.length("_text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in documents.dtypes]
     return out.select(*cols, F.coalesce(F.size("_drops"), F.lit(0)).alias("n_dropped"))
