@@ -223,10 +223,10 @@ def test_quality_gross_mild_and_hosts(spark):
 
 def test_quality_learns_abusive_words(spark):
     rng = random.Random(10)
-    rows = [(i, prose(rng, 50) + (" scumword" if i < 30 else "")) for i in range(100)]
+    rows = [(i, prose(rng, 50) + (" scumword slurword" if i < 30 else " slurword" if i == 99 else "")) for i in range(100)]
     labels = spark.createDataFrame([(i, 1, int(i < 20)) for i in range(80)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     few = labels.withColumn("toxic", F.when(F.col("doc_id") < 30, 1).otherwise(F.col("toxic")))
-    assert quality.vocabulary(docs(spark, rows), few) == ["scumword"]
+    assert quality.vocabulary(docs(spark, rows), few) == ["scumword", "slurword"]
     assert {r.doc_id for r in quality.kept(docs(spark, rows), few).collect()} == set(range(30, 100))
 
 

@@ -9,9 +9,9 @@ failure stay, whatever their host.
 
 Rules, gross (mild) limits: no words at all (under 3 words); symbol characters over 4 %
 (2 %); upper-case letters over 25 % (15 %) from 20 characters on; distinct words under
-30 % (40 %) from 20 words on; distinct lines under 50 % (70 %) from 4 lines on; a word of
-the abusive vocabulary (gross). That vocabulary is learned from ``labels``: words in at
-least 2 % (and 10) of the toxic documents and nine times as many toxic as other ones,
+30 % (40 %) from 20 words on; distinct lines under 50 % (70 %) from 4 lines on; two different
+words (one word) of the abusive vocabulary. That vocabulary is learned from ``labels``: words in at
+least 1 % (and 5) of the toxic documents and nine times as many toxic as other ones,
 over at most ``labelled`` labelled documents, taken by hash of their id.
 
 Rows: a NULL text has no words and is rejected; a NULL source is a host of its own; a
@@ -46,8 +46,8 @@ def vocabulary(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED
     seen = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     words = seen.select("toxic", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
     toxic, other = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)
-    least = sample.agg(F.greatest(F.lit(10.0), F.count_if(F.col("toxic") == 1) * 0.02).alias("least"))
-    found = words.groupBy("word").agg(toxic.alias("t"), other.alias("o")).where("t >= 10 and t >= 9 * o")
+    least = sample.agg(F.greatest(F.lit(5.0), F.count_if(F.col("toxic") == 1) * 0.01).alias("least"))
+    found = words.groupBy("word").agg(toxic.alias("t"), other.alias("o")).where("t >= 5 and t >= 9 * o")
     return sorted(r.word for r in found.join(F.broadcast(least), F.col("t") >= F.col("least")).select("word").collect())
 
 
@@ -63,7 +63,7 @@ def measure(documents: DataFrame, abusive: list[str]) -> DataFrame:
         "_upper": n - F.length(F.regexp_replace(text, "[A-ZÀ-ÖØ-Þ]", "")),
         "_lines": F.size(lines),
         "_line_kinds": F.size(F.array_distinct(lines)),
-    }).withColumns({"_words": F.size("_w"), "_kinds": F.size(F.array_distinct("_w"))})
+    }).withColumns({"_words": F.size("_w"), "_kinds": F.size(F.array_distinct("_w")), "_abusive": F.size(F.array_intersect("_w", F.lit(abusive))) if abusive else F.lit(0)})
     c = F.col
     gross = [
         c("_words") == 0,
@@ -72,8 +72,6 @@ def measure(documents: DataFrame, abusive: list[str]) -> DataFrame:
         (c("_kinds") * 10 < c("_words") * 3) & (c("_words") >= 20),
         (c("_line_kinds") * 2 < c("_lines")) & (c("_lines") >= 4),
     ]
-    if abusive:
-        gross.append(F.arrays_overlap("_w", F.lit(abusive)))
     mild = [
         c("_words") < 3,
         c("_symbols") * 50 > c("_n"),
@@ -81,8 +79,11 @@ def measure(documents: DataFrame, abusive: list[str]) -> DataFrame:
         (c("_kinds") * 10 < c("_words") * 4) & (c("_words") >= 20),
         (c("_line_kinds") * 10 < c("_lines") * 7) & (c("_lines") >= 4),
     ]
+    if abusive:
+        gross.append(c("_abusive") >= 2)
+        mild.append(c("_abusive") >= 1)
     count = lambda flags: sum((f.cast("int") for f in flags[1:]), flags[0].cast("int"))
-    return out.withColumns(dict(zip(FLAGS, (count(gross), count(mild))))).drop("_w", "_n", "_symbols", "_upper", "_lines", "_line_kinds", "_words", "_kinds")
+    return out.withColumns(dict(zip(FLAGS, (count(gross), count(mild))))).drop("_w", "_n", "_symbols", "_upper", "_lines", "_line_kinds", "_words", "_kinds", "_abusive")
 
 
 def hosts(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
@@ -140,16 +141,16 @@ CTES = rf"""
 sample as (select distinct doc_id, toxic from labels where doc_id is not null and toxic is not null order by md5(cast(doc_id as varchar)), toxic limit {LABELLED}),
 doc_words as (select s.doc_id, s.toxic, unnest(list_distinct({_DOC_WORDS})) as word from documents d join sample s using (doc_id)),
 abusive as (select word from doc_words group by word having count(*) filter (where toxic = 1) >= 9 * count(*) filter (where toxic <> 1)
-   and count(*) filter (where toxic = 1) >= greatest(10.0, 0.02 * (select count(*) from sample where toxic = 1))),
+   and count(*) filter (where toxic = 1) >= greatest(5.0, 0.01 * (select count(*) from sample where toxic = 1))),
 m0 as (select *, {_DOC_WORDS} as _w, length(coalesce(text, '')) as _n,
    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#$%&*|<>{{}}^~=]', '', 'g')) as _s,
    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[A-ZÀ-ÖØ-Þ]', '', 'g')) as _u,
    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') as _l from documents),
 m1 as (select *, len(_w) as _c, len(list_distinct(_w)) as _k, len(_l) as _lc, len(list_distinct(_l)) as _lk,
-   list_has_any(_w, coalesce((select list(word) from abusive), [])) as _a from m0),
+   len(list_distinct(list_intersect(_w, coalesce((select list(word) from abusive), [])))) as _a from m0),
 measured as (select *,
-   (_c = 0)::int + (_s * 25 > _n)::int + (_u * 4 > _n and _n >= 20)::int + (_k * 10 < _c * 3 and _c >= 20)::int + (_lk * 2 < _lc and _lc >= 4)::int + _a::int as n_gross,
-   (_c < 3)::int + (_s * 50 > _n)::int + (_u * 20 > _n * 3 and _n >= 20)::int + (_k * 10 < _c * 4 and _c >= 20)::int + (_lk * 10 < _lc * 7 and _lc >= 4)::int as n_mild from m1),
+   (_c = 0)::int + (_s * 25 > _n)::int + (_u * 4 > _n and _n >= 20)::int + (_k * 10 < _c * 3 and _c >= 20)::int + (_lk * 2 < _lc and _lc >= 4)::int + (_a >= 2)::int as n_gross,
+   (_c < 3)::int + (_s * 50 > _n)::int + (_u * 20 > _n * 3 and _n >= 20)::int + (_k * 10 < _c * 4 and _c >= 20)::int + (_lk * 10 < _lc * 7 and _lc >= 4)::int + (_a >= 1)::int as n_mild from m1),
 by_host as (select source as host, count(*) as host_docs, count(*) filter (where n_gross > 0 or n_mild > 0) as host_failed from measured group by source),
 prior as (select m, case when v > 0 then greatest(1.0, least({PRIOR_MAX}, m * (1 - m) / v - 1)) else {PRIOR_MAX} end as k
    from (select avg(host_failed / host_docs) as m, var_samp(host_failed / host_docs) as v from by_host)),
