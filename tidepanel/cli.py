@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import sys
 import uuid
 from datetime import datetime, timezone
 
@@ -18,7 +17,7 @@ from tidepanel.sources import io, report
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidepanel")
     p.add_argument("step", choices=["normalize", "dimensions", "gold", "validate", "features", "evaluate"])
-    p.add_argument("--source", choices=["2073", "2070", "all"], default="all")
+    p.add_argument("--source", choices=[*io.SOURCES, "all"], default="all")
     p.add_argument("--config", required=True, help="YAML with metrics, residences, units, territories and folds")
     p.add_argument("--folder", required=True)
     return p
@@ -85,4 +84,4 @@ def from_yaml_keys(y: dict):
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

@@ -41,7 +41,7 @@ def territory_name(x: Column | str) -> Column:
 
 
 def is_period(x: Column | str) -> Column:
-    return c(x).rlike(r"^\d{4}M(0[1-9]|1[0-2])$")
+    return c(x).rlike(r"^[0-9]{4}M(?:0[1-9]|1[012])$")
 
 
 def period_month(x: Column | str) -> Column:
@@ -149,4 +149,4 @@ def lookup(x: Column | str, mapping: dict[str, str]) -> Column:
 
 def snapshot_time(file_name: Column | str) -> Column:
     """Timestamp of names such as 20260101T101500Z_label.csv."""
-    return F.try_to_timestamp(F.regexp_extract(c(file_name), r"(\d{8}T\d{6}Z)_", 1), F.lit("yyyyMMdd'T'HHmmss'Z'"))
+    return F.try_to_timestamp(F.regexp_extract(c(file_name), r"([0-9]{8}T[0-9]{6}Z)_", 1), F.lit("yyyyMMdd'T'HHmmss'Z'"))

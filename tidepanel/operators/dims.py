@@ -31,8 +31,8 @@ def territory_dimension(territories: DataFrame, long: DataFrame, months: int, ge
         territories.distinct()
         .join(availability(long, months).drop("available_months", "coverage_ratio"), "territory_id", "left")
         .select(
-            "territory_id", "territory_name", F.lit("province").alias("territory_level"), "source_territory_code", "source_territory_name",
-            "autonomous_community_id", "autonomous_community_name", F.col("territory_id").alias("province_id"),
+            "territory_id", "territory_name", F.lit("province").alias("territory_level"), *"source_territory_code source_territory_name".split(),
+            *"autonomous_community_id autonomous_community_name".split(), F.col("territory_id").alias("province_id"),
             F.col("first_available_month").isNotNull().alias("is_rural_tourism_available"),
             "first_available_month", "last_available_month", F.coalesce("coverage_quality", F.lit("insufficient")).alias("coverage_quality"),
             F.lit(generated_at).alias("generated_at_utc"),

@@ -10,25 +10,18 @@ from tidepanel.config import Fold
 from tidepanel.functions import expr as X
 from tidepanel.operators import panel
 
-LAGS = [
-    ("overnight_stays_total", 1, "lag_1_overnight_stays"), ("overnight_stays_total", 3, "lag_3_overnight_stays"),
-    ("overnight_stays_total", 12, "lag_12_overnight_stays"), ("occupancy_rate_pct", 1, "lag_1_occupancy_rate_pct"),
-    ("occupancy_rate_pct", 12, "lag_12_occupancy_rate_pct"), ("weekend_occupancy_rate_pct", 1, "lag_1_weekend_occupancy_rate_pct"),
-    ("average_stay", 1, "lag_1_average_stay"), ("average_stay", 12, "lag_12_average_stay"),
-    ("domestic_overnight_stays_share", 1, "lag_1_domestic_overnight_stays_share"),
-    ("foreign_overnight_stays_share", 1, "lag_1_foreign_overnight_stays_share"), ("places_estimated", 1, "lag_1_places_estimated"),
-    ("establishments_estimated", 1, "lag_1_establishments_estimated"), ("staff_employed", 1, "lag_1_staff_employed"),
-]
-HISTORY = [
-    "lag_1_overnight_stays", "lag_3_overnight_stays", "lag_12_overnight_stays", "rolling_mean_3m_overnight_stays", "rolling_mean_12m_overnight_stays",
-    "yoy_change_overnight_stays", *(n for _, _, n in LAGS[3:]),
-]
-CORE = HISTORY[:5]
-COLUMNS = [
-    "territory_id", "territory_name", "territory_level", "target_month_id", "target_date_month", "forecast_horizon", "target_overnight_stays_total",
-    "target_occupancy_rate_pct", "year", "month", "quarter", "is_summer", "is_christmas_period", "covid_period", *HISTORY, "evaluation_split",
-    "data_quality_flag", "is_provisional", "source_snapshot_id", "pipeline_run_id", "data_version", "created_at",
-]
+#: measure -> lags in months
+LAG_MONTHS = {
+    "overnight_stays_total": (1, 3, 12), "occupancy_rate_pct": (1, 12), "weekend_occupancy_rate_pct": (1,), "average_stay": (1, 12),
+    **{f"{origin}_overnight_stays_share": (1,) for origin in ("domestic", "foreign")}, **{x: (1,) for x in ("places_estimated", "establishments_estimated", "staff_employed")},
+}
+LAGS = [(x, k, f"lag_{k}_{x.removesuffix('_total')}") for x, months in LAG_MONTHS.items() for k in months]
+CORE = [n for _, _, n in LAGS[:3]] + [f"rolling_mean_{k}m_overnight_stays" for k in (3, 12)]
+HISTORY = [*CORE, "yoy_change_overnight_stays", *(n for _, _, n in LAGS[3:])]
+COLUMNS = (
+    "territory_id territory_name territory_level target_month_id target_date_month forecast_horizon target_overnight_stays_total "
+    "target_occupancy_rate_pct year month quarter is_summer is_christmas_period covid_period"
+).split() + HISTORY + "evaluation_split data_quality_flag is_provisional source_snapshot_id pipeline_run_id data_version created_at".split()
 
 
 def with_history(gold: DataFrame) -> DataFrame:

@@ -10,7 +10,11 @@ from tidepanel.functions import expr as X
 from tidepanel.operators import panel
 
 DEMAND = [("travellers", "domestic"), ("travellers", "foreign"), ("overnight_stays", "domestic"), ("overnight_stays", "foreign")]
-SUPPLY = ["establishments_estimated", "places_estimated", "occupancy_rate_pct", "weekend_occupancy_rate_pct", "room_occupancy_rate_pct", "staff_employed"]
+SUPPLY = "establishments_estimated occupancy_rate_pct places_estimated room_occupancy_rate_pct staff_employed weekend_occupancy_rate_pct".split()
+RATIOS = (
+    "domestic_overnight_stays_share domestic_travellers_share foreign_overnight_stays_share foreign_travellers_share overnight_stays_per_place "
+    "travellers_per_establishment weekend_dependence_index"
+).split()
 KEY = ["territory_id", "month_id"]
 CONTEXT = {
     "price_index": "double", "price_yoy_change_pct": "double", "price_source_frequency": "string", "price_territory_level": "string",

@@ -12,7 +12,7 @@ from tidepanel.config import Fold
 from tidepanel.functions import expr as X
 from tidepanel.operators import evaluate
 
-KEYS = ["territory_id", "territory_name", "target_month_id", "target_date_month", "evaluation_split"]
+KEYS = "evaluation_split target_date_month target_month_id territory_id territory_name".split()
 
 
 def prepared(df: DataFrame, numeric: list[str], categorical: list[str], boolean: list[str] = []) -> DataFrame:

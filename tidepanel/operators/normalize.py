@@ -8,19 +8,10 @@ from pyspark.sql import functions as F
 from tidepanel.functions import expr as X
 from tidepanel.operators.panel import require_columns
 
-DEMAND_COLUMNS = {
-    "Provincias con mayor número de pernoctaciones": "source_territory",
-    "Viajeros y pernoctaciones": "source_metric",
-    "Residencia": "source_residence",
-    "Periodo": "source_period",
-    "Total": "source_value_raw",
-}
-SUPPLY_COLUMNS = {
-    "Provincias con mayor número de pernoctaciones": "source_territory",
-    "Establecimientos y personal empleado (plazas)": "source_metric",
-    "Periodo": "source_period",
-    "Total": "source_value_raw",
-}
+TERRITORY, PERIOD, VALUE = "Provincias con mayor número de pernoctaciones", "Periodo", "Total"
+_SHARED = {TERRITORY: "source_territory", PERIOD: "source_period", VALUE: "source_value_raw"}
+DEMAND_COLUMNS = _SHARED | {"Viajeros y pernoctaciones": "source_metric"} | {"Residencia": "source_residence"}
+SUPPLY_COLUMNS = _SHARED | {"Establecimientos y personal empleado (plazas)": "source_metric"}
 LONG_COLUMNS = (
     "territory_id territory_level country_code province_code province_name metric source_metric residence source_residence month_id month year "
     "month_number value unit source_value_raw value_missing quality_flag data_status is_provisional source_id source_table_id source_file_name "

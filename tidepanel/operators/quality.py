@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidepanel.functions import expr as X
 from tidepanel.operators import panel
 
-RESULT = "check string, status string, severity string, details string"
+PERCENTAGES = "occupancy_rate_pct room_occupancy_rate_pct seasonality_index tourism_pressure_index weekend_occupancy_rate_pct".split()
 
 
 @dataclass(frozen=True)
@@ -103,13 +103,13 @@ def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def gold_checks() -> list[Check]:
     c = F.col
-    counts = ["travellers_total", "travellers_domestic", "travellers_foreign", "overnight_stays_total", "overnight_stays_domestic", "overnight_stays_foreign"]
+    counts = [f"{m}_{s}" for m in ("travellers", "overnight_stays") for s in ("total", "domestic", "foreign")]
     ratio = X.safe_divide("overnight_stays_total", "travellers_total")
-    shares = [(a, b) for a, b in (("domestic_travellers_share", "foreign_travellers_share"), ("domestic_overnight_stays_share", "foreign_overnight_stays_share"))]
+    shares = [(f"domestic_{m}_share", f"foreign_{m}_share") for m in ("travellers", "overnight_stays")]
     return [
         *not_null("territory_id", "month_id", "date_month"),
         *non_negative(*counts, "establishments_estimated", "places_estimated", "staff_employed"),
-        *(in_range(x, 0, 100) for x in ("occupancy_rate_pct", "weekend_occupancy_rate_pct", "room_occupancy_rate_pct", "seasonality_index", "tourism_pressure_index")),
+        *(in_range(x, 0, 100) for x in PERCENTAGES),
         *(in_range(x, 0, 1) for pair in shares for x in pair),
         *(rows_where(f"shares_sum:{a}", F.abs(c(a) + c(b) - 1) > 1e-6) for a, b in shares),
         rows_where("total:travellers", c("travellers_total") != c("travellers_domestic") + c("travellers_foreign")),

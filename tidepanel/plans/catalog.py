@@ -32,7 +32,7 @@ def cols(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
-# --------------------------------------------------- scalars and normalisation
+# == scalars and normalisation
 RAW = ["9.220", "45,73", " 1.234,5 ", ".", "..", "", "-12", "abc", "0"]
 TERRITORIES = ["38 Santa Cruz de Tenerife", "01 Araba", "no code", "7  x"]
 PERIODS = ["2026M05", "2026M13", "1999M12", "2026-05", ""]
@@ -63,14 +63,14 @@ def _(spark, d):
 
 
 @query("period_parse", r"""select raw, m as month, strftime(m, '%Y-%m') as month_id, cast(year(m) as integer) as year, cast(month(m) as integer) as month_number from (
-    select raw, case when regexp_matches(raw, '^\d{4}M(0[1-9]|1[0-2])$') then cast(replace(raw, 'M', '-') || '-01' as date) end as m from (values """
+    select raw, case when regexp_matches(raw, '^[0-9]{4}M(?:0[1-9]|1[012])$') then cast(replace(raw, 'M', '-') || '-01' as date) end as m from (values """
     + ", ".join(f"('{x}')" for x in PERIODS) + ") v(raw))")
 def _(spark, d):
     m = X.period_month("raw")
     return values(spark, PERIODS).select("raw", m.alias("month"), X.month_id(m).alias("month_id"), F.year(m).alias("year"), F.month(m).alias("month_number"))
 
 
-@query("malformed_periods", r"select distinct raw from (values " + ", ".join(f"('{x}')" for x in PERIODS) + r") v(raw) where not regexp_matches(raw, '^\d{4}M(0[1-9]|1[0-2])$')")
+@query("malformed_periods", r"select distinct raw from (values " + ", ".join(f"('{x}')" for x in PERIODS) + r") v(raw) where not regexp_matches(raw, '^[0-9]{4}M(?:0[1-9]|1[012])$')")
 def _(spark, d):
     return values(spark, PERIODS).where(~X.is_period("raw")).distinct()
 
@@ -106,7 +106,7 @@ def _(spark, d):
     return df.groupBy("quality_flag", "value_missing", "is_provisional").agg(F.count("*").alias("rows"))
 
 
-# ------------------------------------------------------------------ dimensions
+# == dimensions
 @query("calendar_dimension", "select month_id, date_month, year, month, month_name, quarter, season, is_summer, is_christmas_period, covid_period, complete_month_available from calendar", "calendar")
 def _(spark, d):
     return P.calendar(spark, d).drop("is_easter_period")
@@ -135,13 +135,14 @@ def _(spark, d):
     return dims.territory_dimension(t, P.demand(spark, d), 80, P.CREATED).drop("generated_at_utc")
 
 
-# ------------------------------------------------------------------ fact table
+# == fact table
 @query("base_grid", "select territory_id, month_id, date_month from grid", "grid")
 def _(spark, d):
     return panel.base_grid(P.territory(spark, d), P.calendar(spark, d)).select("territory_id", "month_id", "date_month")
 
 
-_DW = ["territory_id", "month_id", "travellers_total", "travellers_domestic", "travellers_foreign", "overnight_stays_total", "overnight_stays_domestic", "overnight_stays_foreign", "average_stay", "is_provisional"]
+_COUNTS = [f"{m}_{s}" for m in ("travellers", "overnight_stays") for s in ("total", "domestic", "foreign")]
+_DW = [*gold.KEY, *_COUNTS, "average_stay", "is_provisional"]
 
 
 @query("demand_wide_pivot", f"select {', '.join(_DW)} from demand_wide", "demand_wide")
@@ -167,7 +168,7 @@ def of_facts(name: str, *columns: str):
     query(name, f"select {', '.join(names)} from facts", "facts")(lambda spark, d: P.facts(spark, d).select(*names))
 
 
-of_facts("profile_ratios", "domestic_travellers_share", "foreign_travellers_share", "domestic_overnight_stays_share", "foreign_overnight_stays_share", "overnight_stays_per_place", "travellers_per_establishment", "weekend_dependence_index")
+of_facts("profile_ratios", *gold.RATIOS)
 of_facts("mom_yoy_change", "overnight_stays_mom_change_pct", "overnight_stays_yoy_change_pct")
 of_facts("seasonality_index", "seasonality_index")
 of_facts("tourism_pressure_index", "tourism_pressure_index")
@@ -194,7 +195,7 @@ def _(spark, d):
     return grid.agg(F.count("*").alias("grid_rows"), F.count_if(has).alias("kept"), F.count_if(~has).alias("removed"))
 
 
-_GOLD = [c for c in gold.COLUMNS if c not in (*gold.CONTEXT, "is_easter_period", "demand_source_frequency", "demand_snapshot_id", "supply_snapshot_id", "source_snapshot_id", "pipeline_run_id", "data_version", "created_at")]
+_GOLD = [c for c in gold.COLUMNS if c not in (*gold.CONTEXT, *"created_at data_version demand_snapshot_id demand_source_frequency is_easter_period pipeline_run_id source_snapshot_id supply_snapshot_id".split())]
 
 
 @query("gold_table", f"select {', '.join(_GOLD)}, sha256('demand:demand-1|supply:supply-1') as source_snapshot_id, 'monthly' as demand_source_frequency from gold", "gold")
@@ -207,7 +208,7 @@ def _(spark, d):
     return P.gold_table(spark, d).groupBy("data_status", "is_provisional").agg(F.count("*").alias("rows"))
 
 
-# -------------------------------------------------------------------- features
+# == features
 def of_model(name: str, *columns: str):
     names = ["territory_id", "target_month_id", *columns]
     sql = ", ".join(f"month_id as {n}" if n == "target_month_id" else n for n in names)
@@ -258,7 +259,7 @@ def _(spark, d):
     return df.groupBy("evaluation_split").agg(F.count("*").alias("rows"))
 
 
-# ------------------------------------------------------------------ evaluation
+# == evaluation
 _M = "count(*) as rows, avg(absolute_error) as mae, sqrt(avg(squared_error)) as rmse, case when sum(abs(actual)) <> 0 then sum(absolute_error) / sum(abs(actual)) * 100 end as wape_pct, avg(error) as mean_bias"
 
 
@@ -363,7 +364,7 @@ def _(spark, d):
     return explore.best_and_worst(evaluate.paired(P.predictions(spark, d), ["territory_id"]), 5)
 
 
-# --------------------------------------------------------------------- quality
+# == quality
 @query("missing_territory_months", "select t.territory_id, c.month_id from (select distinct territory_id from gold) t cross join calendar c where not exists (select 1 from gold g where g.territory_id = t.territory_id and g.month_id = c.month_id)", "gold")
 def _(spark, d):
     return quality.missing_pairs(P.gold_table(spark, d), P.calendar(spark, d))
@@ -403,7 +404,7 @@ def _(spark, d):
     return panel.single_value(P.table(spark, d, "orders"), "o_orderstatus")
 
 
-_MISS = ["travellers_total", "overnight_stays_total", "average_stay", "occupancy_rate_pct", "overnight_stays_yoy_change_pct", "seasonality_index", "tourism_pressure_index"]
+_MISS = "average_stay occupancy_rate_pct overnight_stays_total overnight_stays_yoy_change_pct seasonality_index tourism_pressure_index travellers_total".split()
 
 
 @query("missingness_report", " union all ".join(f"select '{c}' as \"column\", count(*) filter (where {c} is null) as nulls, count(*) filter (where {c} is null) * cast(100 as double) / count(*) as null_pct from gold" for c in _MISS), "gold")
@@ -416,12 +417,11 @@ def _check_sql(conditions: list[tuple[str, str, str]], source: str) -> str:
     return "select \"check\", case when violations = 0 then 'PASS' when severity = 'warn' then 'WARN' else 'FAIL' end as status, severity, violations from (" + " union all ".join(rows) + ")"
 
 
-_COUNTS = ["travellers_total", "travellers_domestic", "travellers_foreign", "overnight_stays_total", "overnight_stays_domestic", "overnight_stays_foreign"]
-_SHARES = [("domestic_travellers_share", "foreign_travellers_share"), ("domestic_overnight_stays_share", "foreign_overnight_stays_share")]
+_SHARES = [tuple(f"{r}_{m}_share" for r in ("domestic", "foreign")) for m in ("travellers", "overnight_stays")]
 _GOLD_RULES = (
     [(f"not_null:{c}", f"{c} is null", "fail") for c in ("territory_id", "month_id", "date_month")]
     + [(f"non_negative:{c}", f"{c} < 0", "fail") for c in (*_COUNTS, "establishments_estimated", "places_estimated", "staff_employed")]
-    + [(f"range:{c}", f"not {c} between 0 and 100", "fail") for c in ("occupancy_rate_pct", "weekend_occupancy_rate_pct", "room_occupancy_rate_pct", "seasonality_index", "tourism_pressure_index")]
+    + [(f"range:{c}", f"not {c} between 0 and 100", "fail") for c in quality.PERCENTAGES]
     + [(f"range:{c}", f"not {c} between 0 and 1", "fail") for p in _SHARES for c in p]
     + [(f"shares_sum:{a}", f"abs({a} + {b} - 1) > 1e-6", "fail") for a, b in _SHARES]
     + [
@@ -473,7 +473,7 @@ def _(spark, d):
     return quality.temporal_integrity(g, P.model_table(spark, d), _SPECS)
 
 
-# ----------------------------------------------------------------- exploration
+# == exploration
 @query("national_monthly", "select date_month, coalesce(cast(sum(travellers_total) as bigint), 0) as travellers_total, coalesce(cast(sum(overnight_stays_total) as bigint), 0) as overnight_stays_total from gold group by all", "gold")
 def _(spark, d):
     return explore.national_monthly(P.gold_table(spark, d))
@@ -549,7 +549,7 @@ def _(spark, d):
     return explore.table_summary(P.gold_table(spark, d), "territory_id", "month_id", ["travellers_total", "occupancy_rate_pct"])
 
 
-# ---------------------------------------------------------------- event stream
+# == event stream
 @query("latest_revision", "select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1")
 def _(spark, d):
     """Last row of each key, the operator behind the micro-batch upkeep."""
@@ -559,7 +559,7 @@ def _(spark, d):
     return latest_revision(ranked, ["user_id", "event_type"], "v").select("user_id", "event_type", "event_id", "value")
 
 
-# ------------------------------------------------------------ machine learning
+# == machine learning
 _NUM, _CAT, _BOOL = (list(x) for x in (P.CONFIG.numeric_features, P.CONFIG.categorical_features, P.CONFIG.boolean_features))
 
 

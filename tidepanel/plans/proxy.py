@@ -27,11 +27,11 @@ CONFIG = PanelConfig(
     ),
     provisional_start=date(2000, 9, 1),
     shock=(date(1998, 1, 1), date(1998, 12, 1)),
-    numeric_features=("year", "quarter", "is_summer", "is_christmas_period", "covid_period", *features.HISTORY),
+    numeric_features=tuple("covid_period is_christmas_period is_summer quarter year".split() + features.HISTORY),
     categorical_features=("territory_id", "month"),
-    boolean_features=("is_summer", "is_christmas_period", "covid_period"),
+    boolean_features=tuple("covid_period is_christmas_period is_summer".split()),
 )
-SPLITS = ["validation_1", "validation_2", "validation_3", "test"]
+SPLITS = [f.name for f in CONFIG.folds[:4]]
 DOMESTIC = ["BUILDING", "HOUSEHOLD", "FURNITURE"]
 CREATED = "2024-01-01T00:00:00"
 
@@ -132,7 +132,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = model_table(spark, sf_dir).where(F.col("evaluation_split").isin(*SPLITS) & evaluate.evaluable())
     raw = (F.col("lag_12_overnight_stays") + F.coalesce("rolling_mean_12m_overnight_stays", "lag_12_overnight_stays")) / 2
     return df.select(
-        "territory_id", "territory_name", "target_month_id", "target_date_month", "month", "evaluation_split", F.lit("blend").alias("model"),
+        *"evaluation_split month target_date_month target_month_id territory_id territory_name".split(), F.lit("blend").alias("model"),
         F.col("target_overnight_stays_total").alias("actual"), F.col("lag_12_overnight_stays").alias("baseline_prediction"),
         raw.alias("model_prediction_raw"), X.clip(raw, low=0).alias("model_prediction"),
     )

@@ -7,11 +7,11 @@ from pyspark.sql import types as T
 from tidepanel.operators.gold import COLUMNS, CONTEXT
 
 _BIGINT = {f"{m}_{s}" for m in ("travellers", "overnight_stays") for s in ("total", "domestic", "foreign")}
-_BOOLEAN = {"is_summer", "is_christmas_period", "is_easter_period", "covid_period", "complete_month_available", "is_provisional"}
+_BOOLEAN = set("complete_month_available covid_period is_christmas_period is_easter_period is_provisional is_summer".split())
 _OTHER = {"date_month": T.DateType(), "year": T.ShortType(), "month": T.ByteType(), "quarter": T.ByteType(), "created_at": T.TimestampType()}
 _STRING = (
     set("territory_id source_territory_code source_territory_name territory_name territory_level autonomous_community_id autonomous_community_name province_id coverage_quality month_id month_name season".split())
-    | {"demand_source_frequency", "data_status", "demand_snapshot_id", "supply_snapshot_id", "source_snapshot_id", "pipeline_run_id", "data_version"}
+    | set("data_status data_version demand_snapshot_id demand_source_frequency pipeline_run_id source_snapshot_id supply_snapshot_id".split())
 )
 
 

@@ -55,7 +55,7 @@ def validate_download(path: str | Path, least: int = 500) -> None:
 
 def download(source: Source, folder: str | Path, timeout: float = 120.0) -> Path:
     """Fetch over HTTP (or file://) through a .part file that becomes the snapshot or goes."""
-    stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+    stamp = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}"
     target = Path(folder) / f"{stamp}_{source.label}.csv"
     part = target.with_suffix(".csv.part")
     request = urllib.request.Request(source.url, headers={"User-Agent": "tidepanel", "Accept": "text/csv"})

@@ -15,7 +15,7 @@ def spanish(x: float | None, decimals: int = 2) -> str:
 
 
 def slug(model: str, alpha: float | None = None) -> str:
-    return model if alpha is None else f"{model}_alpha_{alpha:g}".replace(".", "_")
+    return model if alpha is None else f"{model}_alpha_{alpha:g}".translate({46: 95})
 
 
 def markdown_table(df: DataFrame, order: list[str] | None = None) -> str:
