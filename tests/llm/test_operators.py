@@ -34,7 +34,7 @@ def test_rolling_is_a_polynomial():
     assert len(rolling(ids[:3], 5)) == 0
 
 
-# ------------------------------------------------------------- decontamination
+# == decontamination
 def contaminated(rng):
     items = [(i, prose(rng, rng.choice([3, 5, 9, 15, 20, 40]))) for i in range(30)]
     rows = []
@@ -72,7 +72,7 @@ def test_leaks_edges(spark):
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
-# -------------------------------------------------------------- substring dedup
+# == substring dedup
 def repeating(rng):
     shared = [prose(rng, n) for n in (50, 51, 64, 75, 120, 49, 30)]
     rows = []
@@ -131,7 +131,7 @@ def test_suffix_array_is_sorted():
         assert same.tolist() == [key(a)[:50] == key(b)[:50] for a, b in zip(order, order[1:])]
 
 
-# --------------------------------------------------------------------- simhash
+# == simhash
 def near_copies(rng):
     rows, d = [], 0
     for g in range(60):
@@ -206,7 +206,7 @@ def test_duplicates_edges(spark):
     assert simhash.duplicates(docs(spark, [])).count() == 0
 
 
-# --------------------------------------------------------------------- quality
+# == quality
 def test_quality_gross_mild_and_hosts(spark):
     clean = prose(random.Random(9), 60)
     mild = clean + " #" * int(len(clean) * 0.03)
@@ -230,7 +230,7 @@ def test_quality_learns_abusive_words(spark):
     assert {r.doc_id for r in quality.kept(docs(spark, rows), few).collect()} == set(range(30, 100))
 
 
-# ------------------------------------------------------------------------ WARC
+# == WARC
 def test_warc_round_trip(spark, tmp_path):
     pages = [(3, "http://a", "<p>é one</p>"), (1, "http://b", "<p>é one</p>"), (2, None, "two\r\n\r\nlines"), (4, "http://d", ""), (5, "http://e", None), (None, "x", "y"), (3, "http://a", "<p>é one</p>")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, uri string")
@@ -250,7 +250,7 @@ def test_warc_logged_revisits(spark):
     assert warc.resolve(spark.createDataFrame([], "capture_id long, kind string, uri string, digest string")).count() == 0
 
 
-# ----------------------------------------------------------------------- lines
+# == lines
 def brute_lines(rows, min_docs):
     """Drop list by one pass in plain Python over all leaves."""
     leaves = {}
@@ -314,7 +314,7 @@ def test_templates_generalise():
     assert sorted((sorted(m), t) for m, t in found) == [([0, 1], "a b c <*> e f g".split()), ([2], "q b c d z z z".split())]
 
 
-# --------------------------------------------------------------------- packing
+# == packing
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_equals_best_fit_decreasing(seed):
     rng = random.Random(seed)
@@ -357,7 +357,7 @@ def test_token_counts_equal_the_encoder(spark):
     assert {r.doc_id for r in packing.pack_documents(docs(spark, EDGE)).collect()} == {3, 4, 5}
 
 
-# ------------------------------------------------------------------------ HTML
+# == HTML
 def page(rng, k):
     nav = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in prose(rng, 5).split())
     body = "".join(f"<p>{prose(rng, rng.randint(15, 60))}</p>" for _ in range(rng.randint(2, 6)))
@@ -396,7 +396,7 @@ def test_html_edges(spark):
     assert html.content(df.limit(0), {}).count() == 0
 
 
-# ------------------------------------------------------------------------ chat
+# == chat
 def test_chat_keeps_maximal_conversations(spark):
     rng = random.Random(15)
     logs = {}

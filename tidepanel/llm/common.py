@@ -64,7 +64,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# --------------------------------------------------------------------- tokens
+# == tokens
 class WordIds(dict):
     """word -> 64-bit id, remembered for as long as the memo stays small."""
 
@@ -165,7 +165,7 @@ def window_starts(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, doc
 
 
-# ----------------------------------------------------------- packed exchange
+# == packed exchange
 #: One row carries all entries of one chunk for one bucket, as packed arrays. A row-wise
 #: exchange of fixed-width integers takes four times the bytes and ten times the CPU.
 PACKED = "bucket int, docs binary, counts binary, pos binary, value binary"
