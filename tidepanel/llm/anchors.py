@@ -27,7 +27,7 @@ from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, mix, pack,
 
 MIN_TOKENS = 50
 BLOCK = 25
-ENTRIES_PER_BUCKET = 4_000_000
+ENTRIES_PER_BUCKET = 2_000_000
 EXACT_PER_BUCKET = 1_000_000
 
 
