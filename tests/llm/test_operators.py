@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 from tidepanel.llm import anchors, chat, decontaminate, html, lines, packing, quality, simhash, suffixes, warc
 from tidepanel.llm.common import WordIds, rolling, words
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, other string"
+#: With names that the operators use themselves.
+EXTRA = ["drops", "gone", "host", "n_mild", "_w", "in_text", "hits", "s", "root", "bucket", "id", "line"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 
 
 def docs(spark, rows):
     """Documents with an extra column; rows are (doc_id, text) or (doc_id, text, source)."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s0", len(r[1]) if r[1] is not None else None, "x") for r in rows]
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s0", len(r[1]) if r[1] is not None else None, *[None, "x"] * (len(EXTRA) // 2)) for r in rows]
     return spark.createDataFrame(full, DOCS)
 
 
 def prose(rng, n, vocabulary=4000):
-    return " ".join(f"w{int(vocabulary * rng.random() ** 2)}ord" for _ in range(n))
+    spell = lambda k: str(k).translate({48 + d: 97 + d for d in range(10)})
+    return " ".join(f"w{spell(int(vocabulary * rng.random() ** 2))}ord" for _ in range(n))
 
 
 EDGE = [(None, "a text without id " * 20), (1, None), (2, ""), (3, "   \n "), (4, "word"), (5, "long " * 60_000)]
@@ -265,8 +268,8 @@ def brute_lines(rows, min_docs):
     keep, drop = {}, set()
     for leaf in leaves.values():
         texts = list(leaf)
-        for members, _ in lines.templates(texts, [len(leaf[x][0]) for x in texts]):
-            if sum(len(leaf[texts[i]][0]) for i in members) >= min_docs:
+        for members, template in lines.templates(texts, [len(leaf[x][0]) for x in texts]):
+            if lines.says_something(template) and sum(len(leaf[texts[i]][0]) for i in members) >= min_docs:
                 first = min(leaf[texts[i]][1] for i in members)
                 for i in members:
                     drop.add(texts[i])
@@ -310,6 +313,7 @@ def test_lines_edges(spark):
 
 
 def test_templates_generalise():
+    assert lines.says_something(["a", "<*>"]) and not lines.says_something(["<*>", "a", "<*>"])
     found = lines.templates(["a b c d e f g", "a b c x e f g", "q b c d z z z"], [5, 1, 1])
     assert sorted((sorted(m), t) for m, t in found) == [([0, 1], "a b c <*> e f g".split()), ([2], "q b c d z z z".split())]
 

@@ -64,6 +64,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one derived from it that no column of ``df`` has in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 # == tokens
 class WordIds(dict):
     """word -> 64-bit id, remembered for as long as the memo stays small."""

@@ -3,7 +3,8 @@
 Lines are parsed down a tree of fixed depth: number of tokens, then the leading tokens,
 where any token with a digit is a variable field. Inside a leaf, lines join the most
 similar template if at least ``similarity`` of the positions agree; positions that differ
-become variable. A template's recurrence is the number of (line variant, document) pairs
+become variable. A template of which less than half is constant says nothing (rows of
+numbers) and is left alone. A template's recurrence is the number of (line variant, document) pairs
 it covers; one that reaches ``min_docs`` is boilerplate, and all its lines go except the
 first of them (lowest document id, then line number), so that no passage leaves the
 corpus altogether.
@@ -16,7 +17,7 @@ Rows: a NULL id or NULL text is neither counted nor changed; blank lines are kep
 document of which no line is left goes; a line repeated in one document counts once
 there; ties between templates go to the earlier one, lines being taken most frequent
 first, then by text; repeated rows and repeated ids are cut alike; other columns are kept; an empty
-table stays empty.
+table stays empty; a column ``n_dropped`` is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import cut, spread, table
+from tidepanel.llm.common import cut, fresh, spread, table
 
 LEADING = 3
 SIMILARITY = 0.7
@@ -76,6 +77,10 @@ def templates(lines: list[str], counts: list[int], similarity: float = SIMILARIT
     return [(m, [VARIABLE if k < 0 else names[k] for k in t]) for m, t in zip(members, found)]
 
 
+def says_something(template: list[str]) -> bool:
+    return 2 * template.count(VARIABLE) <= len(template)
+
+
 def _count_lines(batches):
     for batch in batches:
         seen: dict[str, list[int]] = {}
@@ -108,7 +113,7 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: float
         clusters = templates(lines, n, similarity) if len(lines) > 1 else [([0], tokens(lines[0]))]
         for members, template in clusters:
             total = sum(n[i] for i in members)
-            if total >= min_docs:
+            if total >= min_docs and says_something(template):
                 keep = min(first[i] for i in members)
                 for i in members:
                     yield lines[i], *keep, " ".join(template), total
@@ -159,14 +164,16 @@ def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: f
     gone = cut(recurring(documents, min_docs, similarity).select(*keys, "keep_doc", "keep_line").distinct(), "recurring")
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
     hits = rows.select("id", "no", *keys).join(gone, ["h", "g"]).where("not (id = keep_doc and no = keep_line)")
-    drops = cut(hits.groupBy("id").agg(F.collect_set("no").alias("_drops")).withColumnRenamed("id", "_id"), "drops")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drops", i))
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    by_id, drop, kept = (fresh(documents, n) for n in ("drops_id", "drops", "kept_text"))
+    drops = cut(hits.groupBy(F.col("id").alias(by_id)).agg(F.collect_set("no").alias(drop)), "drops")
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(drop, i))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     # the same plan at every size: an automatic broadcast would switch to this one anyway
-    out = documents.join(drops.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_text", text)
-    out = out.where(F.col("_drops").isNull() | F.col("_text").rlike(r"\S"))
-    cols = [F.col("_text").alias(c) if c == "text" else F.length("_text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in documents.dtypes]
-    return out.select(*cols, F.coalesce(F.size("_drops"), F.lit(0)).alias("n_dropped"))
+    out = documents.join(drops.hint("merge"), F.col("doc_id") == F.col(by_id), "left").withColumn(kept, text)
+    out = out.where(F.col(drop).isNull() | F.col(kept).rlike(r"\S"))
+    own = [(c, t) for c, t in documents.dtypes if c != "n_dropped"]
+    cols = [F.col(kept).alias(c) if c == "text" else F.length(kept).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in own]
+    return out.select(*cols, F.coalesce(F.size(drop), F.lit(0)).alias("n_dropped"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
