@@ -61,9 +61,8 @@ def measure(documents: DataFrame, abusive: list[str]) -> DataFrame:
         "_n": n,
         "_symbols": n - F.length(F.regexp_replace(text, r"[#$%&*|<>{}^~=]", "")),
         "_upper": n - F.length(F.regexp_replace(text, "[A-ZÀ-ÖØ-Þ]", "")),
-        "_lines": F.size(lines),
-        "_line_kinds": F.size(F.array_distinct(lines)),
-    }).withColumns({"_words": F.size("_w"), "_kinds": F.size(F.array_distinct("_w")), "_abusive": F.size(F.array_intersect("_w", F.lit(abusive))) if abusive else F.lit(0)})
+        "_l": lines,
+    }).withColumns({"_lines": F.size("_l"), "_line_kinds": F.size(F.array_distinct("_l")), "_words": F.size("_w"), "_kinds": F.size(F.array_distinct("_w")), "_abusive": F.size(F.array_intersect("_w", F.lit(abusive))) if abusive else F.lit(0)})
     c = F.col
     gross = [
         c("_words") == 0,
@@ -83,7 +82,7 @@ def measure(documents: DataFrame, abusive: list[str]) -> DataFrame:
         gross.append(c("_abusive") >= 2)
         mild.append(c("_abusive") >= 1)
     count = lambda flags: sum((f.cast("int") for f in flags[1:]), flags[0].cast("int"))
-    return out.withColumns(dict(zip(FLAGS, (count(gross), count(mild))))).drop("_w", "_n", "_symbols", "_upper", "_lines", "_line_kinds", "_words", "_kinds", "_abusive")
+    return out.withColumns(dict(zip(FLAGS, (count(gross), count(mild))))).drop("_w", "_l", "_n", "_symbols", "_upper", "_lines", "_line_kinds", "_words", "_kinds", "_abusive")
 
 
 def hosts(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
@@ -123,11 +122,15 @@ def clean(documents: DataFrame, labels: DataFrame, host_limit: float = HOST_LIMI
     The texts are measured twice, for the hosts and again where they are kept: cheaper
     than a shuffle of all texts to meet the verdicts by id.
     """
-    base = documents.withColumnsRenamed({c: f"in_{c}" for c in documents.columns}).withColumns({"text": F.col("in_text"), "source": F.col("in_source")})
+    base = documents.select(*(F.col(f"`{c}`").alias(f"in_{c}") for c in documents.columns), "text", "source")
     abusive = vocabulary(documents, labels)
     verdicts = hosts(measure(documents.select("source", "text"), abusive).drop("text"), host_limit)
-    rows = _judged(measure(base, abusive), verdicts)
-    return rows.select(*(F.col(f"in_{c}").alias(c) for c in documents.columns))
+    # an explode keeps the predicates on the flags above their computation: pushed below it,
+    # they would evaluate every rule a second time
+    flags = F.explode(F.array(F.struct(*FLAGS))).alias("_flags")
+    measured = measure(base, abusive).select("source", *base.columns[: len(documents.columns)], flags).select("*", "_flags.*")
+    rows = _judged(measured, verdicts)
+    return rows.select(*(F.col(f"`in_{c}`").alias(c) for c in documents.columns))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
