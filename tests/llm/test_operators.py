@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.llm import anchors, chat, decontaminate, html, lines, packing, quality, simhash, suffixes, warc
-from tidepanel.llm.common import WordIds, rolling, words
+from tidepanel.llm.common import WordIds, by_pair, rolling, words
 
 #: With names that the operators use themselves.
 EXTRA = ["drops", "gone", "host", "n_mild", "_w", "in_text", "hits", "s", "root", "bucket", "id", "line"]
@@ -116,6 +116,39 @@ def test_repeats_edges(spark, method):
     assert method(docs(spark, [(1, passage), (1, passage)])).count() == 0
 
 
+@pytest.mark.parametrize("method", [anchors.spans_of, suffixes.spans_of])
+def test_repeats_are_held_whole_by_their_partners(spark, method):
+    rng = random.Random(31)
+    core, left, right = prose(rng, 50), prose(rng, 75), prose(rng, 75)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, f"{prose(rng, 20)} {core} {prose(rng, 20)}"), (2, f"{prose(rng, 9)} {left} {core} {right} {prose(rng, 9)}"), (3, f"{left} {core} {right}")]
+    rows += [(4, a), (5, b), (6, f"{a} {b}"), (7, "same " * 70), (8, "same " * 60)]
+    out = method(docs(spark, rows)).cache()
+    text, by_id = {d: words(t) for d, t in rows}, {}
+    for r in out.collect():
+        own, other = text[r.doc_id][r.start_token : r.start_token + r.n_tokens], text[r.other_doc_id]
+        assert len(own) == r.n_tokens >= 50 and any(other[p : p + r.n_tokens] == own for p in range(len(other)))
+        by_id.setdefault(r.repeat_id, []).append((r.doc_id, r.start_token, tuple(own)))
+    assert all(len({x[2] for x in rows}) == 1 for rows in by_id.values())
+    assert {1, 2, 3} in [{x[0] for x in rows} for rows in by_id.values()]
+    want = set()
+    for d, w in text.items():
+        for e, v in text.items():
+            for p in range(len(w)):
+                for q in range(len(v) if d != e else 0):
+                    if w[p] == v[q] and not (p and q and w[p - 1] == v[q - 1]):
+                        n = next((k for k in range(min(len(w) - p, len(v) - q)) if w[p + k] != v[q + k]), min(len(w) - p, len(v) - q))
+                        if n >= 50:
+                            want.add((d, p, n, e, q))
+    assert {(2, 9, 200, 3, 0), (3, 75, 50, 1, 20), (6, 0, 60, 4, 0), (6, 60, 60, 5, 0)} <= want
+    assert sorted(tuple(r) for r in by_pair(out, 50).collect()) == sorted(want)
+
+
+def test_both_methods_find_the_same_spans(spark):
+    rows = repeating(random.Random(32))
+    assert sorted(anchors.spans_of(docs(spark, rows)).collect()) == sorted(suffixes.spans_of(docs(spark, rows)).collect())
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(5)
     for trial in range(20):

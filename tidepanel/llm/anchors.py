@@ -5,8 +5,11 @@ and every window of 25 tokens of every document probes the index. Any repeat of
 tokens holds a whole block of each of its documents, so that a window of 50 tokens
 without a hit in its first 25 starts is not repeated. Where there are hits, they are
 extended: the windows of 50 tokens around them are matched exactly with those of the other
-documents, and their union is the maximal exact repeat. Matching by window instead of by
-pair of occurrences makes a passage of m documents cost m, not m squared.
+documents, and successive windows are joined as long as the same places hold them. Matching
+by window instead of by pair of occurrences makes a passage of m documents cost m, not m
+squared: each row names one partner, and rows of equal ``repeat_id`` hold the same text.
+Where some of those places share more text, it follows as the next span, which overlaps by
+49 tokens; ``common.by_pair`` joins the spans of each pair of documents.
 
 Both matches run inside buckets of the hashes; entries travel packed, a row a chunk and
 bucket. The number of buckets grows with the corpus, a bucket does not.
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, mix, pack, rolling, spans, spread, table, token_chunks, unpack, window_starts
+from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, held_by, mix, pack, rolling, spans, spread, table, token_chunks, unpack, window_starts
 
 MIN_TOKENS = 50
 BLOCK = 25
@@ -56,12 +59,12 @@ def probe(t: pa.Table, block: int) -> pa.Table:
     order = indexed[np.lexsort((doc[indexed], h[indexed]))]
     kinds, starts = np.unique(h[order], return_index=True)
     if not len(kinds):
-        return found(doc[:0], pos[:0], doc[:0])
+        return found(doc[:0], pos[:0], doc[:0], doc[:0])
     low, high = doc[order[starts]], doc[order[np.concatenate((starts[1:], [len(order)])) - 1]]
     k = np.minimum(np.searchsorted(kinds, h[maybe]), len(kinds) - 1)
     other = np.where(low[k] != doc[maybe], low[k], high[k])
     hit = (kinds[k] == h[maybe]) & (other != doc[maybe])
-    return found(doc[maybe[hit]], pos[maybe[hit]], other[hit])
+    return found(doc[maybe[hit]], pos[maybe[hit]], other[hit], np.zeros(hit.sum(), np.uint64))
 
 
 def exact_windows(documents: DataFrame, hits: DataFrame, buckets: int, width: int, block: int) -> DataFrame:
@@ -88,10 +91,13 @@ def exact_windows(documents: DataFrame, hits: DataFrame, buckets: int, width: in
 
 
 def repeated(t: pa.Table) -> pa.Table:
-    """Windows whose hash occurs in another document, with the lowest such document."""
+    """Windows whose hash occurs in another document, with the lowest such document and their occurrences."""
     doc, pos, h = unpack(t, np.uint64)
-    order = np.lexsort((doc, h))
+    order = np.lexsort((pos, doc, h))
     doc, pos, h = doc[order], pos[order], h[order]
+    # a row that is repeated adds no occurrence
+    once = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]))) if len(h) else np.empty(0, bool)
+    doc, pos, h = doc[once], pos[once], h[once]
     starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, int)
     sizes = np.diff(np.concatenate((starts, [len(h)])))
     low = np.repeat(doc[starts], sizes)
@@ -100,22 +106,28 @@ def repeated(t: pa.Table) -> pa.Table:
     second = np.repeat(np.minimum.reduceat(after, starts), sizes) if len(h) else after
     other = np.where(doc != low, low, second)
     hit = other != np.iinfo(np.int64).max
-    return found(doc[hit], pos[hit], other[hit])
+    held = np.repeat(np.add.reduceat(held_by(doc, pos), starts), sizes) if len(h) else h
+    return found(doc[hit], pos[hit], other[hit], held[hit])
 
 
-def repeats(documents: DataFrame, width: int = MIN_TOKENS, block: int = BLOCK) -> DataFrame:
-    """Maximal spans of exact repeats across documents: (doc_id, start_token, n_tokens, other_doc_id)."""
+def spans_of(documents: DataFrame, width: int = MIN_TOKENS, block: int = BLOCK) -> DataFrame:
+    """Exact repeats across documents (``common.spans``): (doc_id, start_token, n_tokens, other_doc_id, repeat_id)."""
     assert width >= 2 * block - 1
     docs = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-chars // (6 * ENTRIES_PER_BUCKET)))
-    hits = cut(probes(docs, buckets, block).groupBy("bucket").applyInArrow(lambda t: probe(t, block), FOUND), "hits").select("doc_id", "pos")
+    hits = cut(probes(docs, buckets, block).groupBy("bucket").applyInArrow(lambda t: probe(t, block), FOUND).select("doc_id", "pos"), "hits")
     windows = hits.agg(F.sum(F.length("pos") / 4)).first()[0] or 0
     buckets = max(8, -(-int(windows) // EXACT_PER_BUCKET))
     same = cut(exact_windows(docs, hits, buckets, width, block).groupBy("bucket").applyInArrow(repeated, FOUND), "repeated")
     return spans(same, width)
 
 
+def repeats(documents: DataFrame, width: int = MIN_TOKENS, block: int = BLOCK) -> DataFrame:
+    """``spans_of`` without the repeat's id."""
+    return spans_of(documents, width, block).drop("repeat_id")
+
+
 def brute(documents: list[tuple[int, str]], width: int) -> dict[int, set[int]]:
     """Tokens of each document that lie in a window of ``width`` found in another one; for tests."""
     from tidepanel.llm.common import words
@@ -134,4 +146,4 @@ def brute(documents: list[tuple[int, str]], width: int) -> dict[int, set[int]]:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    return spans_of(table(spark, sf_dir, "documents"))

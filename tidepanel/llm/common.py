@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
@@ -216,51 +217,83 @@ def unpack(t: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(doc), np.concatenate(pos), np.concatenate(value)
 
 
-#: Found positions of one document.
-FOUND = "doc_id long, pos binary, other binary"
-FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("pos", pa.binary()), ("other", pa.binary())])
+#: Ratio of the powers by which ``held_by`` weighs positions.
+_R = 0xD1342543DE82EF95
 
 
-def found(doc: np.ndarray, pos: np.ndarray, other: np.ndarray) -> pa.Table:
-    """A row for each document among the entries, with its positions and partner documents."""
+def further(steps: np.ndarray) -> np.ndarray:
+    """_R to the power of each of the steps."""
+    powers = np.full(int(steps.max(initial=0)) + 1, _R, np.uint64)
+    powers[0] = 1
+    return np.cumprod(powers)[steps]
+
+
+def held_by(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Weights of occurrences: a text's sum over all of its occurrences names their set.
+
+    One token further on, the sum is that times _R (mod 2**64) exactly where the text
+    there has the same occurrences, each one token further on.
+    """
+    return mix(doc.astype(np.uint64) + np.uint64(_B)) * further(pos)
+
+
+#: Found positions of one document, a partner and the set of occurrences (held_by) of each.
+FOUND = "doc_id long, pos binary, other binary, held binary"
+FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("pos", pa.binary()), ("other", pa.binary()), ("held", pa.binary())])
+
+
+def found(doc: np.ndarray, pos: np.ndarray, other: np.ndarray, held: np.ndarray) -> pa.Table:
+    """A row for each document among the entries, with its positions, partner documents and occurrences."""
     order = np.lexsort((pos, doc))
-    doc, pos, other = doc[order], pos[order].astype(np.uint32), other[order].astype(np.int64)
+    doc, pos, other, held = doc[order], pos[order].astype(np.uint32), other[order].astype(np.int64), held[order].astype(np.uint64)
     firsts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, int)
     ends = np.concatenate((firsts[1:], [len(doc)])) if len(doc) else firsts
-    return pa.Table.from_arrays(
-        [
-            pa.array(doc[firsts], pa.int64()),
-            pa.array([pos[a:b].tobytes() for a, b in zip(firsts, ends)], pa.binary()),
-            pa.array([other[a:b].tobytes() for a, b in zip(firsts, ends)], pa.binary()),
-        ],
-        schema=FOUND_ARROW,
-    )
+    blobs = [pa.array([x[a:b].tobytes() for a, b in zip(firsts, ends)], pa.binary()) for x in (pos, other, held)]
+    return pa.Table.from_arrays([pa.array(doc[firsts], pa.int64()), *blobs], schema=FOUND_ARROW)
 
 
-SPANS = "doc_id long, start_token int, n_tokens int, other_doc_id long"
-SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("start_token", pa.int32()), ("n_tokens", pa.int32()), ("other_doc_id", pa.int64())])
+SPANS = "doc_id long, start_token int, n_tokens int, other_doc_id long, repeat_id long"
+SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("start_token", pa.int32()), ("n_tokens", pa.int32()), ("other_doc_id", pa.int64()), ("repeat_id", pa.int64())])
 
 
 def spans(hits: DataFrame, width: int) -> DataFrame:
-    """Merge found window starts into maximal spans of tokens, by document.
+    """Join found windows, by document, as far as the same occurrences hold them.
 
-    ``other_doc_id`` is the lowest id of another document that shares a window of the span.
+    A span ends where the set of places that hold its windows changes, so that each of
+    them holds the whole span. They have the span's ``repeat_id`` in common: m rows for m
+    occurrences. ``other_doc_id`` is the lowest id of another document among them.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[], [], [], []]
-            for d, ps, os in zip(batch.column("doc_id"), batch.column("pos"), batch.column("other")):
-                p = np.frombuffer(b"".join(ps.as_py()), np.uint32).astype(np.int64)
-                o = np.frombuffer(b"".join(os.as_py()), np.int64)
-                order = np.argsort(p, kind="stable")
-                p, o = p[order], o[order]
-                firsts = np.flatnonzero(np.concatenate(([True], np.diff(p) > width)))
+            rows = [[], [], [], [], []]
+            for d, *blobs in zip(*(batch.column(c) for c in ("doc_id", "pos", "other", "held"))):
+                p, o, s = (np.frombuffer(b"".join(x.as_py()), k) for x, k in zip(blobs, (np.uint32, np.int64, np.uint64)))
+                p, order = np.unique(p.astype(np.int64), return_index=True)
+                o, s = o[order], s[order]
+                firsts = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 1) | (s[1:] != s[:-1] * np.uint64(_R)))))
                 lasts = np.concatenate((firsts[1:], [len(p)])) - 1
                 rows[0].extend([d.as_py()] * len(firsts))
                 rows[1].extend(p[firsts])
                 rows[2].extend(p[lasts] + width - p[firsts])
-                rows[3].extend(np.minimum.reduceat(o, firsts))
+                rows[3].extend(o[firsts])
+                rows[4].extend(mix(s[firsts]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, SPANS_ARROW.types)], schema=SPANS_ARROW)
 
-    return hits.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("other").alias("other")).mapInArrow(merge, SPANS)
+    lists = [F.collect_list(c).alias(c) for c in ("pos", "other", "held")]
+    return hits.groupBy("doc_id").agg(*lists).mapInArrow(merge, SPANS)
+
+
+def by_pair(repeats: DataFrame, width: int) -> DataFrame:
+    """Maximal exact repeats of each pair of documents: spans that both hold, joined on their diagonal.
+
+    This has a row for each pair: a passage of m documents costs m squared here.
+    """
+    mine = repeats.select("repeat_id", "doc_id", "start_token", "n_tokens")
+    other = repeats.select("repeat_id", F.col("doc_id").alias("other_doc_id"), F.col("start_token").alias("other_start"))
+    both = mine.join(other, "repeat_id").where("doc_id <> other_doc_id").withColumn("shift", F.col("start_token") - F.col("other_start"))
+    line = W.partitionBy("doc_id", "other_doc_id", "shift").orderBy("start_token")
+    new = F.coalesce(F.col("start_token") > F.lag(F.col("start_token") + F.col("n_tokens")).over(line) - width + 1, F.lit(True))
+    parts = both.withColumn("new", new.cast("int")).withColumn("part", F.sum("new").over(line))
+    whole = parts.groupBy("doc_id", "other_doc_id", "shift", "part").agg(F.min("start_token").alias("start_token"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    return whole.select("doc_id", "start_token", (F.col("end") - F.col("start_token")).alias("n_tokens"), "other_doc_id", (F.col("start_token") - F.col("shift")).alias("other_start"))

@@ -12,7 +12,8 @@ have no long tie. The rest is sorted a bucket at a time, over the bucket's own t
 3. suffixes sorted by their 16-token rank; longer ties are resolved by the sample ranks
    at the offset, below 16, at which both suffixes fall on the cover;
 4. neighbours in the array that agree in 50 tokens form groups, and a group with two
-   documents or more is repeated text.
+   documents or more is repeated text. Successive windows are joined as long as the same
+   places hold them, as in ``anchors``.
 
 Memory is bounded by the bucket (``BUCKET_TOKENS``, cut at whole gram hashes; equal runs
 are sorted once), and the number of buckets grows with the corpus.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm.anchors import repeated
-from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, mix, pack, rolling, spans, spread, table, token_chunks, window_starts
+from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, further, held_by, mix, pack, rolling, spans, spread, table, token_chunks, window_starts
 
 MIN_TOKENS = 50
 GRAM = 12
@@ -214,7 +215,11 @@ def sort_bucket(t: pa.Table, width: int, limit: int = BUCKET_TOKENS) -> pa.Table
 
 
 def _sort_runs(doc, pos, n, size, start, tokens, width) -> pa.Table:
-    # equal runs are sorted once, for their two lowest documents' sake
+    # a row that is repeated adds no occurrence
+    by = np.lexsort((pos, doc))
+    by = by[np.concatenate(([True], (np.diff(doc[by]) != 0) | (np.diff(pos[by]) != 0)))]
+    doc, pos, n, size, start = (x[by] for x in (doc, pos, n, size, start))
+    # equal runs are sorted once, for their two lowest documents' and all their occurrences' sake
     take = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     text = tokens[take]
     first = np.cumsum(size) - size
@@ -224,8 +229,10 @@ def _sort_runs(doc, pos, n, size, start, tokens, width) -> pa.Table:
     inverse = inverse.ravel()
     by = np.lexsort((doc, inverse))
     starts = np.flatnonzero(np.concatenate(([True], np.diff(inverse[by]) != 0)))
+    none = np.iinfo(np.int64).max
     low = doc[by[starts]]
-    high = doc[by[np.concatenate((starts[1:], [len(by)])) - 1]]
+    second = np.minimum.reduceat(np.where(doc[by] != low[inverse[by]], doc[by], none), starts)
+    held = np.add.reduceat(held_by(doc, pos)[by], starts)
     one = by[starts]
     # concatenated text of one run a kind
     s1, n1 = size[one], n[one]
@@ -240,10 +247,10 @@ def _sort_runs(doc, pos, n, size, start, tokens, width) -> pa.Table:
     groups = np.flatnonzero(np.concatenate(([True], ~same)))
     sizes = np.diff(np.concatenate((groups, [len(order)])))
     r = run_at[order]
-    lows = np.minimum.reduceat(low[r], groups)
-    highs = np.maximum.reduceat(high[r], groups)
-    glow, ghigh = np.repeat(lows, sizes), np.repeat(highs, sizes)
-    hit = np.flatnonzero(glow != ghigh)
+    glow = np.repeat(np.minimum.reduceat(low[r], groups), sizes)
+    gsecond = np.repeat(np.minimum.reduceat(np.where(low[r] != glow, low[r], second[r]), groups), sizes)
+    gheld = np.repeat(np.add.reduceat(held[r] * further(order - first1[r]), groups), sizes)
+    hit = np.flatnonzero(gsecond != none)
     # back to all runs of each kind
     slot = np.full(len(text), -1, np.int64)
     slot[order[hit]] = hit
@@ -252,20 +259,25 @@ def _sort_runs(doc, pos, n, size, start, tokens, width) -> pa.Table:
     ok = k >= 0
     docs, where = np.repeat(doc, n)[ok], (np.repeat(pos - (np.cumsum(n) - n), n) + np.arange(n.sum()))[ok]
     k = k[ok]
-    return found(docs, where, np.where(glow[k] != docs, glow[k], ghigh[k]))
+    return found(docs, where, np.where(glow[k] != docs, glow[k], gsecond[k]), gheld[k])
 
 
-def repeats(documents: DataFrame, width: int = MIN_TOKENS) -> DataFrame:
-    """Maximal spans of exact repeats across documents: (doc_id, start_token, n_tokens, other_doc_id)."""
+def spans_of(documents: DataFrame, width: int = MIN_TOKENS) -> DataFrame:
+    """Exact repeats across documents (``common.spans``): (doc_id, start_token, n_tokens, other_doc_id, repeat_id)."""
     docs = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-chars // (6 * 20 * RUNS_PER_BUCKET)))
-    hits = cut(_narrow(docs, buckets, width).groupBy("bucket").applyInArrow(repeated, FOUND), "runs").select("doc_id", "pos")
+    hits = cut(_narrow(docs, buckets, width).groupBy("bucket").applyInArrow(repeated, FOUND).select("doc_id", "pos"), "runs")
     runs = hits.agg(F.sum(F.length("pos") / 4)).first()[0] or 0
     buckets = max(8, -(-int(runs) * 70 // BUCKET_TOKENS))
     same = cut(_runs(docs, hits, buckets, width).groupBy("bucket").applyInArrow(lambda t: sort_bucket(t, width), FOUND), "suffixes")
     return spans(same, width)
 
 
+def repeats(documents: DataFrame, width: int = MIN_TOKENS) -> DataFrame:
+    """``spans_of`` without the repeat's id."""
+    return spans_of(documents, width).drop("repeat_id")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    return spans_of(table(spark, sf_dir, "documents"))
