@@ -144,6 +144,18 @@ def test_repeats_are_held_whole_by_their_partners(spark, method):
     assert sorted(tuple(r) for r in by_pair(out, 50).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("method", [anchors.spans_of, suffixes.spans_of])
+def test_texts_of_one_id_have_their_own_positions(spark, method):
+    rng = random.Random(33)
+    passage = prose(rng, 60)
+    long, short = f"{prose(rng, 3000)} {passage}", f"{prose(rng, 5)} {passage}"
+    rows = [(1, long), (1, short), (1, short), (2, prose(rng, 70)), (3, passage), (4, prose(rng, 70)), (5, passage[:100])]
+    out = method(docs(spark, rows).coalesce(1)).collect()
+    assert sorted(tuple(r)[:4] for r in out) == [(1, 5, 60, 3), (1, 3000, 60, 3), (3, 0, 60, 1)]
+    assert len({r.version for r in out}) == 3 and len({r.repeat_id for r in out}) == 1
+    assert method(docs(spark, rows[:3])).count() == 0
+
+
 def test_both_methods_find_the_same_spans(spark):
     rows = repeating(random.Random(32))
     assert sorted(anchors.spans_of(docs(spark, rows)).collect()) == sorted(suffixes.spans_of(docs(spark, rows)).collect())

@@ -16,7 +16,7 @@ bucket. The number of buckets grows with the corpus, a bucket does not.
 
 Rows: NULL ids and NULL texts are left out; texts under 50 tokens hold no repeat; a
 passage repeated only inside one document is none; rows that repeat an id are one
-document; very long texts count whole; other columns are ignored.
+document, whose texts, where they differ, have positions of their own; very long texts count whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, held_by, mix, pack, rolling, spans, spread, table, token_chunks, unpack, window_starts
+from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, held_by, mix, pack, rolling, spans, spread, table, token_chunks, unpack, versions, window_starts
 
 MIN_TOKENS = 50
 BLOCK = 25
@@ -39,19 +39,19 @@ def probes(documents: DataFrame, buckets: int, block: int) -> DataFrame:
 
     def emit(batches):
         memo = WordIds()
-        for doc_ids, offsets, ids, _ in token_chunks(batches, memo):
+        for doc_ids, offsets, ids, (version,) in token_chunks(batches, memo, ("version",)):
             ok, doc = window_starts(offsets, block)
             p = np.flatnonzero(ok)
             if len(p):
                 h = mix(rolling(ids, block)[p])
-                yield pack((h >> np.uint64(32)).astype(np.int64) % buckets, doc[p], p - offsets[doc[p]], h.astype(np.uint32), doc_ids, buckets)
+                yield pack((h >> np.uint64(32)).astype(np.int64) % buckets, doc[p], p - offsets[doc[p]], h.astype(np.uint32), np.stack((doc_ids, version), axis=1), buckets)
 
     return documents.mapInArrow(emit, PACKED)
 
 
 def probe(t: pa.Table, block: int) -> pa.Table:
     """Windows that equal an indexed block of another document (up to a hash of this bucket)."""
-    doc, pos, h = unpack(t, np.uint32)
+    doc, version, pos, h = unpack(t, np.uint32, 2)
     indexed = np.flatnonzero(pos % block == 0)
     front = np.zeros(1 << 23, bool)
     front[h[indexed] & np.uint32((1 << 23) - 1)] = True
@@ -59,22 +59,22 @@ def probe(t: pa.Table, block: int) -> pa.Table:
     order = indexed[np.lexsort((doc[indexed], h[indexed]))]
     kinds, starts = np.unique(h[order], return_index=True)
     if not len(kinds):
-        return found(doc[:0], pos[:0], doc[:0], doc[:0])
+        return found(doc[:0], doc[:0], pos[:0], doc[:0], doc[:0])
     low, high = doc[order[starts]], doc[order[np.concatenate((starts[1:], [len(order)])) - 1]]
     k = np.minimum(np.searchsorted(kinds, h[maybe]), len(kinds) - 1)
     other = np.where(low[k] != doc[maybe], low[k], high[k])
     hit = (kinds[k] == h[maybe]) & (other != doc[maybe])
-    return found(doc[maybe[hit]], pos[maybe[hit]], other[hit], np.zeros(hit.sum(), np.uint64))
+    return found(doc[maybe[hit]], version[maybe[hit]], pos[maybe[hit]], other[hit], np.zeros(hit.sum(), np.uint64))
 
 
 def exact_windows(documents: DataFrame, hits: DataFrame, buckets: int, width: int, block: int) -> DataFrame:
     """Windows of ``width`` tokens with a hit in reach, of the documents that have hits."""
-    near = hits.groupBy("doc_id").agg(F.collect_list("pos").alias("hits"))
+    near = hits.groupBy("doc_id", "version").agg(F.collect_list("pos").alias("hits"))
     reach = width - block
 
     def emit(batches):
         memo = WordIds()
-        for doc_ids, offsets, ids, (hit,) in token_chunks(batches, memo, ("hits",)):
+        for doc_ids, offsets, ids, (hit, version) in token_chunks(batches, memo, ("hits", "version")):
             ok, doc = window_starts(offsets, width)
             marks = np.zeros(len(ids) + 1, np.int64)
             for k, blobs in enumerate(hit):
@@ -85,19 +85,19 @@ def exact_windows(documents: DataFrame, hits: DataFrame, buckets: int, width: in
             p = np.flatnonzero(ok)
             if len(p):
                 h = mix(rolling(ids, width)[p])
-                yield pack((h >> np.uint64(32)).astype(np.int64) % buckets, doc[p], p - offsets[doc[p]], h, doc_ids, buckets)
+                yield pack((h >> np.uint64(32)).astype(np.int64) % buckets, doc[p], p - offsets[doc[p]], h, np.stack((doc_ids, version), axis=1), buckets)
 
-    return documents.join(near, "doc_id").mapInArrow(emit, PACKED)
+    return documents.join(near, ["doc_id", "version"]).mapInArrow(emit, PACKED)
 
 
 def repeated(t: pa.Table) -> pa.Table:
     """Windows whose hash occurs in another document, with the lowest such document and their occurrences."""
-    doc, pos, h = unpack(t, np.uint64)
-    order = np.lexsort((pos, doc, h))
-    doc, pos, h = doc[order], pos[order], h[order]
+    doc, version, pos, h = unpack(t, np.uint64, 2)
+    order = np.lexsort((pos, version, doc, h))
+    doc, version, pos, h = doc[order], version[order], pos[order], h[order]
     # a row that is repeated adds no occurrence
-    once = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]))) if len(h) else np.empty(0, bool)
-    doc, pos, h = doc[once], pos[once], h[once]
+    once = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (pos[1:] != pos[:-1]))) if len(h) else np.empty(0, bool)
+    doc, version, pos, h = doc[once], version[once], pos[once], h[once]
     starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, int)
     sizes = np.diff(np.concatenate((starts, [len(h)])))
     low = np.repeat(doc[starts], sizes)
@@ -106,17 +106,17 @@ def repeated(t: pa.Table) -> pa.Table:
     second = np.repeat(np.minimum.reduceat(after, starts), sizes) if len(h) else after
     other = np.where(doc != low, low, second)
     hit = other != np.iinfo(np.int64).max
-    held = np.repeat(np.add.reduceat(held_by(doc, pos), starts), sizes) if len(h) else h
-    return found(doc[hit], pos[hit], other[hit], held[hit])
+    held = np.repeat(np.add.reduceat(held_by(doc, version, pos), starts), sizes) if len(h) else h
+    return found(doc[hit], version[hit], pos[hit], other[hit], held[hit])
 
 
 def spans_of(documents: DataFrame, width: int = MIN_TOKENS, block: int = BLOCK) -> DataFrame:
-    """Exact repeats across documents (``common.spans``): (doc_id, start_token, n_tokens, other_doc_id, repeat_id)."""
+    """Exact repeats across documents (``common.spans``): (doc_id, start_token, n_tokens, other_doc_id, repeat_id, version)."""
     assert width >= 2 * block - 1
-    docs = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = spread(versions(documents))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-chars // (6 * ENTRIES_PER_BUCKET)))
-    hits = cut(probes(docs, buckets, block).groupBy("bucket").applyInArrow(lambda t: probe(t, block), FOUND).select("doc_id", "pos"), "hits")
+    hits = cut(probes(docs, buckets, block).groupBy("bucket").applyInArrow(lambda t: probe(t, block), FOUND).select("doc_id", "version", "pos"), "hits")
     windows = hits.agg(F.sum(F.length("pos") / 4)).first()[0] or 0
     buckets = max(8, -(-int(windows) // EXACT_PER_BUCKET))
     same = cut(exact_windows(docs, hits, buckets, width, block).groupBy("bucket").applyInArrow(repeated, FOUND), "repeated")
@@ -124,8 +124,8 @@ def spans_of(documents: DataFrame, width: int = MIN_TOKENS, block: int = BLOCK)
 
 
 def repeats(documents: DataFrame, width: int = MIN_TOKENS, block: int = BLOCK) -> DataFrame:
-    """``spans_of`` without the repeat's id."""
-    return spans_of(documents, width, block).drop("repeat_id")
+    """``spans_of`` without the repeat's id and the text's hash."""
+    return spans_of(documents, width, block).drop("repeat_id", "version")
 
 
 def brute(documents: list[tuple[int, str]], width: int) -> dict[int, set[int]]:

@@ -186,7 +186,7 @@ PACKED_ARROW = pa.schema(
 def pack(
     bucket: np.ndarray, doc: np.ndarray, pos: np.ndarray, value: np.ndarray, doc_ids: np.ndarray, buckets: int
 ) -> pa.RecordBatch:
-    """Entries (doc is an index into doc_ids, ascending) as one row a bucket."""
+    """Entries (doc is an index into doc_ids, ascending) as one row a bucket. An id may have several columns."""
     kind = np.uint8 if buckets <= 256 else np.uint16 if buckets <= 65536 else np.uint32
     order = np.argsort(bucket.astype(kind), kind="stable")
     ends = np.cumsum(np.bincount(bucket, minlength=buckets))
@@ -205,16 +205,17 @@ def pack(
     return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, PACKED_ARROW.types)], schema=PACKED_ARROW)
 
 
-def unpack(t: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc id, position, value) of all entries of one bucket."""
+def unpack(t: pa.Table, kind, columns: int = 1) -> tuple[np.ndarray, ...]:
+    """(doc id's columns, position, value) of all entries of one bucket."""
     doc, pos, value = [], [], []
     for d, c, p, v in zip(*(t.column(n) for n in ("docs", "counts", "pos", "value"))):
         p, width = p.as_py(), None
         width = p[0]
-        doc.append(np.repeat(np.frombuffer(d.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32)))
+        ids, count = np.frombuffer(d.as_py(), np.int64).reshape(-1, columns), np.frombuffer(c.as_py(), np.uint32)
+        doc.append([np.repeat(x, count) for x in ids.T])
         pos.append(np.frombuffer(p, np.uint16 if width == 2 else np.uint32, offset=1).astype(np.int64))
         value.append(np.frombuffer(v.as_py(), kind))
-    return np.concatenate(doc), np.concatenate(pos), np.concatenate(value)
+    return *map(np.concatenate, zip(*doc)), np.concatenate(pos), np.concatenate(value)
 
 
 #: Ratio of the powers by which ``held_by`` weighs positions.
@@ -228,46 +229,53 @@ def further(steps: np.ndarray) -> np.ndarray:
     return np.cumprod(powers)[steps]
 
 
-def held_by(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def held_by(doc: np.ndarray, version: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Weights of occurrences: a text's sum over all of its occurrences names their set.
 
     One token further on, the sum is that times _R (mod 2**64) exactly where the text
     there has the same occurrences, each one token further on.
     """
-    return mix(doc.astype(np.uint64) + np.uint64(_B)) * further(pos)
+    return mix(mix(doc.astype(np.uint64) + np.uint64(_B)) + version.astype(np.uint64)) * further(pos)
 
 
-#: Found positions of one document, a partner and the set of occurrences (held_by) of each.
-FOUND = "doc_id long, pos binary, other binary, held binary"
-FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("pos", pa.binary()), ("other", pa.binary()), ("held", pa.binary())])
+def versions(documents: DataFrame) -> DataFrame:
+    """(doc_id, version, text) of the rows that have both: an id's texts are told apart by their hash."""
+    docs = documents.where("doc_id is not null and text is not null")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
 
 
-def found(doc: np.ndarray, pos: np.ndarray, other: np.ndarray, held: np.ndarray) -> pa.Table:
-    """A row for each document among the entries, with its positions, partner documents and occurrences."""
-    order = np.lexsort((pos, doc))
-    doc, pos, other, held = doc[order], pos[order].astype(np.uint32), other[order].astype(np.int64), held[order].astype(np.uint64)
-    firsts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, int)
+#: Found positions of one text, a partner and the set of occurrences (held_by) of each.
+FOUND = "doc_id long, version long, pos binary, other binary, held binary"
+FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.binary()), ("other", pa.binary()), ("held", pa.binary())])
+
+
+def found(doc: np.ndarray, version: np.ndarray, pos: np.ndarray, other: np.ndarray, held: np.ndarray) -> pa.Table:
+    """A row for each text among the entries, with its positions, partner documents and occurrences."""
+    order = np.lexsort((pos, version, doc))
+    doc, version, pos, other, held = doc[order], version[order], pos[order].astype(np.uint32), other[order].astype(np.int64), held[order].astype(np.uint64)
+    firsts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])))) if len(doc) else np.empty(0, int)
     ends = np.concatenate((firsts[1:], [len(doc)])) if len(doc) else firsts
     blobs = [pa.array([x[a:b].tobytes() for a, b in zip(firsts, ends)], pa.binary()) for x in (pos, other, held)]
-    return pa.Table.from_arrays([pa.array(doc[firsts], pa.int64()), *blobs], schema=FOUND_ARROW)
+    return pa.Table.from_arrays([pa.array(doc[firsts], pa.int64()), pa.array(version[firsts], pa.int64()), *blobs], schema=FOUND_ARROW)
 
 
-SPANS = "doc_id long, start_token int, n_tokens int, other_doc_id long, repeat_id long"
-SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("start_token", pa.int32()), ("n_tokens", pa.int32()), ("other_doc_id", pa.int64()), ("repeat_id", pa.int64())])
+SPANS = "doc_id long, start_token int, n_tokens int, other_doc_id long, repeat_id long, version long"
+SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("start_token", pa.int32()), ("n_tokens", pa.int32()), ("other_doc_id", pa.int64()), ("repeat_id", pa.int64()), ("version", pa.int64())])
 
 
 def spans(hits: DataFrame, width: int) -> DataFrame:
-    """Join found windows, by document, as far as the same occurrences hold them.
+    """Join found windows, by text of a document, as far as the same occurrences hold them.
 
     A span ends where the set of places that hold its windows changes, so that each of
     them holds the whole span. They have the span's ``repeat_id`` in common: m rows for m
-    occurrences. ``other_doc_id`` is the lowest id of another document among them.
+    occurrences. ``other_doc_id`` is the lowest id of another document among them;
+    ``version`` is the hash of the text that the positions are in.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[], [], [], [], []]
-            for d, *blobs in zip(*(batch.column(c) for c in ("doc_id", "pos", "other", "held"))):
+            rows = [[], [], [], [], [], []]
+            for d, v, *blobs in zip(*(batch.column(c) for c in ("doc_id", "version", "pos", "other", "held"))):
                 p, o, s = (np.frombuffer(b"".join(x.as_py()), k) for x, k in zip(blobs, (np.uint32, np.int64, np.uint64)))
                 p, order = np.unique(p.astype(np.int64), return_index=True)
                 o, s = o[order], s[order]
@@ -278,10 +286,11 @@ def spans(hits: DataFrame, width: int) -> DataFrame:
                 rows[2].extend(p[lasts] + width - p[firsts])
                 rows[3].extend(o[firsts])
                 rows[4].extend(mix(s[firsts]).view(np.int64))
+                rows[5].extend([v.as_py()] * len(firsts))
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, SPANS_ARROW.types)], schema=SPANS_ARROW)
 
     lists = [F.collect_list(c).alias(c) for c in ("pos", "other", "held")]
-    return hits.groupBy("doc_id").agg(*lists).mapInArrow(merge, SPANS)
+    return hits.groupBy("doc_id", "version").agg(*lists).mapInArrow(merge, SPANS)
 
 
 def by_pair(repeats: DataFrame, width: int) -> DataFrame:
@@ -289,11 +298,12 @@ def by_pair(repeats: DataFrame, width: int) -> DataFrame:
 
     This has a row for each pair: a passage of m documents costs m squared here.
     """
-    mine = repeats.select("repeat_id", "doc_id", "start_token", "n_tokens")
-    other = repeats.select("repeat_id", F.col("doc_id").alias("other_doc_id"), F.col("start_token").alias("other_start"))
+    mine = repeats.select("repeat_id", "doc_id", "version", "start_token", "n_tokens")
+    other = repeats.select("repeat_id", F.col("version").alias("other_version"), F.col("doc_id").alias("other_doc_id"), F.col("start_token").alias("other_start"))
     both = mine.join(other, "repeat_id").where("doc_id <> other_doc_id").withColumn("shift", F.col("start_token") - F.col("other_start"))
-    line = W.partitionBy("doc_id", "other_doc_id", "shift").orderBy("start_token")
+    keys = ["doc_id", "version", "other_doc_id", "other_version", "shift"]
+    line = W.partitionBy(*keys).orderBy("start_token")
     new = F.coalesce(F.col("start_token") > F.lag(F.col("start_token") + F.col("n_tokens")).over(line) - width + 1, F.lit(True))
     parts = both.withColumn("new", new.cast("int")).withColumn("part", F.sum("new").over(line))
-    whole = parts.groupBy("doc_id", "other_doc_id", "shift", "part").agg(F.min("start_token").alias("start_token"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    whole = parts.groupBy(*keys, "part").agg(F.min("start_token").alias("start_token"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
     return whole.select("doc_id", "start_token", (F.col("end") - F.col("start_token")).alias("n_tokens"), "other_doc_id", (F.col("start_token") - F.col("shift")).alias("other_start"))

@@ -20,7 +20,7 @@ are sorted once), and the number of buckets grows with the corpus.
 
 Rows: NULL ids and NULL texts are left out; texts under 50 tokens hold no repeat; a
 passage repeated only inside one document is none; rows that repeat an id are one
-document; very long texts count whole; other columns are ignored.
+document, whose texts, where they differ, have positions of their own; very long texts count whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm.anchors import repeated
-from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, further, held_by, mix, pack, rolling, spans, spread, table, token_chunks, window_starts
+from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, further, held_by, mix, pack, rolling, spans, spread, table, token_chunks, versions, window_starts
 
 MIN_TOKENS = 50
 GRAM = 12
@@ -39,8 +39,8 @@ PERIOD = 16
 COVER = (0, 1, 2, 5, 8)
 RUNS_PER_BUCKET = 500_000
 BUCKET_TOKENS = 1_000_000
-RUNS = "bucket int, key binary, docs binary, pos binary, suffixes binary, tokens binary"
-_RUNS = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("key", "docs", "pos", "suffixes", "tokens")])
+RUNS = "bucket int, key binary, docs binary, versions binary, pos binary, suffixes binary, tokens binary"
+_RUNS = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("key", "docs", "versions", "pos", "suffixes", "tokens")])
 _IN_COVER = np.isin(np.arange(2 * PERIOD) % PERIOD, COVER)
 #: Offset at which positions of two residues both fall on the cover.
 OFFSET = np.array([[next(d for d in range(PERIOD) if _IN_COVER[(a + d) % PERIOD] and _IN_COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
@@ -68,39 +68,39 @@ def _narrow(documents: DataFrame, buckets: int, width: int) -> DataFrame:
 
     def emit(batches):
         memo = WordIds()
-        for doc_ids, offsets, ids, _ in token_chunks(batches, memo):
+        for doc_ids, offsets, ids, (version,) in token_chunks(batches, memo, ("version",)):
             start, _, key, doc = runs_of(offsets, ids, width)
             if len(start):
-                yield pack((key >> np.uint64(32)).astype(np.int64) % buckets, doc, start - offsets[doc], key, doc_ids, buckets)
+                yield pack((key >> np.uint64(32)).astype(np.int64) % buckets, doc, start - offsets[doc], key, np.stack((doc_ids, version), axis=1), buckets)
 
     return documents.mapInArrow(emit, PACKED)
 
 
 def _runs(documents: DataFrame, hits: DataFrame, buckets: int, width: int) -> DataFrame:
     """Text of the runs whose gram hash occurs in another document."""
-    near = hits.groupBy("doc_id").agg(F.collect_list("pos").alias("hits"))
+    near = hits.groupBy("doc_id", "version").agg(F.collect_list("pos").alias("hits"))
 
     def emit(batches):
         memo = WordIds()
-        for doc_ids, offsets, ids, (hit,) in token_chunks(batches, memo, ("hits",)):
+        for doc_ids, offsets, ids, (hit, version) in token_chunks(batches, memo, ("hits", "version")):
             start, n, key, doc = runs_of(offsets, ids, width)
             wanted = np.zeros(len(ids), bool)
             for k, blobs in enumerate(hit):
                 wanted[offsets[k] + np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)] = True
-            keep = wanted[start]
+            keep, version = wanted[start], np.array(version, np.int64)
             bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
             order = np.flatnonzero(keep)[np.argsort(bucket[keep], kind="stable")]
             start, n, key, doc, bucket = (x[order] for x in (start, n, key, doc, bucket))
-            rows, firsts = [[] for _ in range(6)], np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(order) else []
+            rows, firsts = [[] for _ in range(7)], np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(order) else []
             for a, b in zip(firsts, [*firsts[1:], len(order)]):
                 size = n[a:b] + width - 1
                 at = np.repeat(start[a:b] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                cols = (key[a:b], doc_ids[doc[a:b]], (start - offsets[doc])[a:b].astype(np.uint32), n[a:b].astype(np.uint32), ids[at].astype(np.uint32))
+                cols = (key[a:b], doc_ids[doc[a:b]], version[doc[a:b]], (start - offsets[doc])[a:b].astype(np.uint32), n[a:b].astype(np.uint32), ids[at].astype(np.uint32))
                 for r, x in zip(rows, (int(bucket[a]), *(c.tobytes() for c in cols))):
                     r.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, _RUNS.types)], schema=_RUNS)
 
-    return documents.join(near, "doc_id").mapInArrow(emit, RUNS)
+    return documents.join(near, ["doc_id", "version"]).mapInArrow(emit, RUNS)
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -196,8 +196,8 @@ def shared_prefix(a: np.ndarray, b: np.ndarray, rank: np.ndarray, width: int) ->
 
 def sort_bucket(t: pa.Table, width: int, limit: int = BUCKET_TOKENS) -> pa.Table:
     """Suffixes of the bucket that share ``width`` tokens with another document's."""
-    cols = [np.concatenate([np.frombuffer(x.as_py(), k) for x in t.column(n)]) for n, k in (("key", np.uint64), ("docs", np.int64), ("pos", np.uint32), ("suffixes", np.uint32), ("tokens", np.uint32))]
-    key, doc, pos, n, tokens = cols[0], cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), cols[4]
+    cols = [np.concatenate([np.frombuffer(x.as_py(), k) for x in t.column(n)]) for n, k in (("key", np.uint64), ("docs", np.int64), ("versions", np.int64), ("pos", np.uint32), ("suffixes", np.uint32), ("tokens", np.uint32))]
+    key, doc, version, pos, n, tokens = cols[0], cols[1], cols[2], cols[3].astype(np.int64), cols[4].astype(np.int64), cols[5]
     size = n + width - 1
     start = np.cumsum(size) - size
     order = np.argsort(key, kind="stable")
@@ -209,16 +209,16 @@ def sort_bucket(t: pa.Table, width: int, limit: int = BUCKET_TOKENS) -> pa.Table
         base = ends[a - 1] if a else 0
         k = max(int(np.searchsorted(ends[edges - 1], base + limit, "right")) - 1, int(np.searchsorted(edges, a, "right")))
         b = int(edges[k])
-        out.append(_sort_runs(*(x[order[a:b]] for x in (doc, pos, n, size, start)), tokens, width))
+        out.append(_sort_runs(*(x[order[a:b]] for x in (doc, version, pos, n, size, start)), tokens, width))
         a = b
     return pa.concat_tables(out)
 
 
-def _sort_runs(doc, pos, n, size, start, tokens, width) -> pa.Table:
+def _sort_runs(doc, version, pos, n, size, start, tokens, width) -> pa.Table:
     # a row that is repeated adds no occurrence
-    by = np.lexsort((pos, doc))
-    by = by[np.concatenate(([True], (np.diff(doc[by]) != 0) | (np.diff(pos[by]) != 0)))]
-    doc, pos, n, size, start = (x[by] for x in (doc, pos, n, size, start))
+    by = np.lexsort((pos, version, doc))
+    by = by[np.concatenate(([True], (np.diff(doc[by]) != 0) | (version[by][1:] != version[by][:-1]) | (np.diff(pos[by]) != 0)))]
+    doc, version, pos, n, size, start = (x[by] for x in (doc, version, pos, n, size, start))
     # equal runs are sorted once, for their two lowest documents' and all their occurrences' sake
     take = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     text = tokens[take]
@@ -232,7 +232,7 @@ def _sort_runs(doc, pos, n, size, start, tokens, width) -> pa.Table:
     none = np.iinfo(np.int64).max
     low = doc[by[starts]]
     second = np.minimum.reduceat(np.where(doc[by] != low[inverse[by]], doc[by], none), starts)
-    held = np.add.reduceat(held_by(doc, pos)[by], starts)
+    held = np.add.reduceat(held_by(doc, version, pos)[by], starts)
     one = by[starts]
     # concatenated text of one run a kind
     s1, n1 = size[one], n[one]
@@ -257,17 +257,17 @@ def _sort_runs(doc, pos, n, size, start, tokens, width) -> pa.Table:
     take = np.repeat(first1[inverse] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     k = slot[take]
     ok = k >= 0
-    docs, where = np.repeat(doc, n)[ok], (np.repeat(pos - (np.cumsum(n) - n), n) + np.arange(n.sum()))[ok]
+    docs, texts, where = np.repeat(doc, n)[ok], np.repeat(version, n)[ok], (np.repeat(pos - (np.cumsum(n) - n), n) + np.arange(n.sum()))[ok]
     k = k[ok]
-    return found(docs, where, np.where(glow[k] != docs, glow[k], gsecond[k]), gheld[k])
+    return found(docs, texts, where, np.where(glow[k] != docs, glow[k], gsecond[k]), gheld[k])
 
 
 def spans_of(documents: DataFrame, width: int = MIN_TOKENS) -> DataFrame:
-    """Exact repeats across documents (``common.spans``): (doc_id, start_token, n_tokens, other_doc_id, repeat_id)."""
-    docs = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    """Exact repeats across documents (``common.spans``): (doc_id, start_token, n_tokens, other_doc_id, repeat_id, version)."""
+    docs = spread(versions(documents))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-chars // (6 * 20 * RUNS_PER_BUCKET)))
-    hits = cut(_narrow(docs, buckets, width).groupBy("bucket").applyInArrow(repeated, FOUND).select("doc_id", "pos"), "runs")
+    hits = cut(_narrow(docs, buckets, width).groupBy("bucket").applyInArrow(repeated, FOUND).select("doc_id", "version", "pos"), "runs")
     runs = hits.agg(F.sum(F.length("pos") / 4)).first()[0] or 0
     buckets = max(8, -(-int(runs) * 70 // BUCKET_TOKENS))
     same = cut(_runs(docs, hits, buckets, width).groupBy("bucket").applyInArrow(lambda t: sort_bucket(t, width), FOUND), "suffixes")
@@ -275,8 +275,8 @@ def spans_of(documents: DataFrame, width: int = MIN_TOKENS) -> DataFrame:
 
 
 def repeats(documents: DataFrame, width: int = MIN_TOKENS) -> DataFrame:
-    """``spans_of`` without the repeat's id."""
-    return spans_of(documents, width).drop("repeat_id")
+    """``spans_of`` without the repeat's id and the text's hash."""
+    return spans_of(documents, width).drop("repeat_id", "version")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
