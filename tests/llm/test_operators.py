@@ -347,6 +347,14 @@ def test_lines_equal_brute_force(spark):
     assert "Posted by user1" in got[1] and not any("Posted by" in got.get(d, "") for d in range(3, 80, 2))
 
 
+def test_lines_count_documents(spark):
+    steps = "\n".join(f"Step {k} of the guide" for k in range(9))
+    rows = [(1, steps), *[(2, "All of this text")] * 6, *((10 + i, f"Page {i} of the book\nPage {i + 50} of the book") for i in range(5)), *((20 + i, f"Note {i} in the margin\nNote {i + 50} in the margin") for i in range(4))]
+    got = {r.doc_id: r.text for r in lines.drop_recurring(docs(spark, rows)).collect()}
+    assert got == {d: t for d, t in rows if not 10 < d < 20} | {10: "Page 0 of the book"}
+    assert {(r.template, r.n_docs) for r in lines.recurring(docs(spark, rows)).collect()} == {("Page <*> of the book", 5)}
+
+
 def test_lines_edges(spark):
     rows = [*EDGE, *((10 + i, "the same line here\nown words number" + "x" * i) for i in range(6)), (10, "the same line here\nown words number")]
     out = lines.drop_recurring(docs(spark, rows), min_docs=6)

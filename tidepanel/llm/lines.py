@@ -4,14 +4,15 @@ Lines are parsed down a tree of fixed depth: number of tokens, then the leading
 where any token with a digit is a variable field. Inside a leaf, lines join the most
 similar template if at least ``similarity`` of the positions agree; positions that differ
 become variable. A template of which less than half is constant says nothing (rows of
-numbers) and is left alone. A template's recurrence is the number of (line variant, document) pairs
-it covers; one that reaches ``min_docs`` is boilerplate, and all its lines go except the
-first of them (lowest document id, then line number), so that no passage leaves the
-corpus altogether.
+numbers) and is left alone. A template's recurrence is the number of documents, by distinct
+id, that hold any of its lines; one that reaches ``min_docs`` is boilerplate, and all its
+lines go except the first of them (lowest document id, then line number), so that no
+passage leaves the corpus altogether.
 
 Lines are counted inside each batch before the shuffle, so that a line of every document
 is a row a batch and not a row a document, and equal lines meet before templates are
-formed: a leaf holds distinct lines only.
+formed: a leaf holds distinct lines only. Their counts add up to an upper bound for the
+template; where it reaches ``min_docs``, documents are counted over the occurrences.
 
 Rows: a NULL id or NULL text is neither counted nor changed; blank lines are kept; a
 document of which no line is left goes; a line repeated in one document counts once
@@ -35,9 +36,9 @@ SIMILARITY = 0.7
 MIN_DOCS = 5
 VARIABLE = "<*>"
 LINES = "leaf long, line string, n long, doc_id long, line_no int"
-RECURRING = "line string, keep_doc long, keep_line int, template string, n_docs long"
+CANDIDATES = "line string, keep_doc long, keep_line int, template string, cluster long"
 _LINES = pa.schema([("leaf", pa.int64()), ("line", pa.string()), ("n", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32())])
-_RECURRING = pa.schema([("line", pa.string()), ("keep_doc", pa.int64()), ("keep_line", pa.int32()), ("template", pa.string()), ("n_docs", pa.int64())])
+_CANDIDATES = pa.schema([("line", pa.string()), ("keep_doc", pa.int64()), ("keep_line", pa.int32()), ("template", pa.string()), ("cluster", pa.int64())])
 
 
 def tokens(line: str) -> list[str]:
@@ -81,6 +82,10 @@ def says_something(template: list[str]) -> bool:
     return 2 * template.count(VARIABLE) <= len(template)
 
 
+def cluster_id(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+
+
 def _count_lines(batches):
     for batch in batches:
         seen: dict[str, list[int]] = {}
@@ -103,8 +108,8 @@ def _count_lines(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([leaf(x) for x in lines], lines, n, doc, k), _LINES.types)], schema=_LINES)
 
 
-def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """Each line of a recurring template, with the occurrence to keep."""
+def candidates(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+    """Each line of a template whose lines' counts reach ``min_docs``, with the occurrence to keep."""
 
     def group(rows):
         lines, n, first = zip(*rows)
@@ -112,11 +117,10 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: float
             return
         clusters = templates(lines, n, similarity) if len(lines) > 1 else [([0], tokens(lines[0]))]
         for members, template in clusters:
-            total = sum(n[i] for i in members)
-            if total >= min_docs and says_something(template):
-                keep = min(first[i] for i in members)
+            if sum(n[i] for i in members) >= min_docs and says_something(template):
+                keep, cluster = min(first[i] for i in members), cluster_id(lines[members[0]])
                 for i in members:
-                    yield lines[i], *keep, " ".join(template), total
+                    yield lines[i], *keep, " ".join(template), cluster
 
     def parse(batches):
         pending, at = [], None
@@ -140,10 +144,10 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: float
                 if pending:
                     out += group(pending)
                 pending, at = rows, leaves[a]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, _RECURRING.types)], schema=_RECURRING)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, _CANDIDATES.types)], schema=_CANDIDATES)
         if pending:
             out = list(group(pending))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, _RECURRING.types)], schema=_RECURRING)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, _CANDIDATES.types)], schema=_CANDIDATES)
 
     docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
@@ -154,16 +158,33 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: float
         .agg(F.sum("n").alias("n"), first)
         .select("leaf", "line", "n", "first.doc_id", "first.line_no")
         .sortWithinPartitions("leaf", "line")
-        .mapInArrow(parse, RECURRING)
+        .mapInArrow(parse, CANDIDATES)
     )
 
 
-def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, all columns, without recurring lines, plus ``n_dropped``."""
+def _occurrences(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, no, cluster, keep_doc, keep_line) wherever a line of ``found`` stands."""
     keys = [F.xxhash64("line").alias("h"), F.hash("line").alias("g")]
-    gone = cut(recurring(documents, min_docs, similarity).select(*keys, "keep_doc", "keep_line").distinct(), "recurring")
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    hits = rows.select("id", "no", *keys).join(gone, ["h", "g"]).where("not (id = keep_doc and no = keep_line)")
+    return rows.select("id", "no", *keys).join(found.select(*keys, "cluster", "keep_doc", "keep_line"), ["h", "g"]).drop("h", "g")
+
+
+def _enough(at: DataFrame, min_docs: int) -> DataFrame:
+    """(cluster, n_docs) of the clusters that stand in ``min_docs`` documents."""
+    return at.select("cluster", "id").distinct().groupBy("cluster").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+
+
+def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+    """Each line of a recurring template, with the occurrence to keep and the template's documents."""
+    found = cut(candidates(documents, min_docs, similarity), "candidates")
+    return found.join(_enough(_occurrences(documents, found), min_docs), "cluster").drop("cluster")
+
+
+def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, all columns, without recurring lines, plus ``n_dropped``."""
+    found = cut(candidates(documents, min_docs, similarity), "candidates")
+    at = cut(_occurrences(documents, found), "occurrences")
+    hits = at.join(_enough(at, min_docs), "cluster", "left_semi").where("not (id = keep_doc and no = keep_line)")
     by_id, drop, kept = (fresh(documents, n) for n in ("drops_id", "drops", "kept_text"))
     drops = cut(hits.groupBy(F.col("id").alias(by_id)).agg(F.collect_set("no").alias(drop)), "drops")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(drop, i))
