@@ -355,6 +355,15 @@ def test_lines_count_documents(spark):
     assert {(r.template, r.n_docs) for r in lines.recurring(docs(spark, rows)).collect()} == {("Page <*> of the book", 5)}
 
 
+def test_lines_of_numbers_recur_by_themselves(spark):
+    rows = [(i, f"own text {'x' * i}\n+1-800-555-0100\n2024-01-01 00:0{i}\n2024-01-01 00:00") for i in range(6)]
+    rows += [(10 + i, f"Tel: 555 123 4567\nTel: 555 123 456{i}\nmore {'y' * i}") for i in range(5)]
+    got = {r.doc_id: r.text for r in lines.drop_recurring(docs(spark, rows)).collect()}
+    assert got == {0: rows[0][1].removesuffix("\n2024-01-01 00:00")} | {i: f"own text {'x' * i}\n2024-01-01 00:0{i}" for i in range(1, 6)} | {10: rows[6][1]} | {
+        10 + i: f"Tel: 555 123 456{i}\nmore {'y' * i}" for i in range(1, 5)
+    }
+
+
 def test_lines_edges(spark):
     rows = [*EDGE, *((10 + i, "the same line here\nown words number" + "x" * i) for i in range(6)), (10, "the same line here\nown words number")]
     out = lines.drop_recurring(docs(spark, rows), min_docs=6)

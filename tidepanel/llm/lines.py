@@ -4,7 +4,8 @@ Lines are parsed down a tree of fixed depth: number of tokens, then the leading
 where any token with a digit is a variable field. Inside a leaf, lines join the most
 similar template if at least ``similarity`` of the positions agree; positions that differ
 become variable. A template of which less than half is constant says nothing (rows of
-numbers) and is left alone. A template's recurrence is the number of documents, by distinct
+numbers) and does not join different lines: each of its lines recurs by itself alone. A
+template's recurrence is the number of documents, by distinct
 id, that hold any of its lines; one that reaches ``min_docs`` is boilerplate, and all its
 lines go except the first of them (lowest document id, then line number), so that no
 passage leaves the corpus altogether.
@@ -117,10 +118,12 @@ def candidates(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: float
             return
         clusters = templates(lines, n, similarity) if len(lines) > 1 else [([0], tokens(lines[0]))]
         for members, template in clusters:
-            if sum(n[i] for i in members) >= min_docs and says_something(template):
-                keep, cluster = min(first[i] for i in members), cluster_id(lines[members[0]])
-                for i in members:
-                    yield lines[i], *keep, " ".join(template), cluster
+            joined = [(members, " ".join(template))] if says_something(template) else [([i], lines[i]) for i in members]
+            for own, name in joined:
+                if sum(n[i] for i in own) >= min_docs:
+                    keep, cluster = min(first[i] for i in own), cluster_id(lines[own[0]])
+                    for i in own:
+                        yield lines[i], *keep, name, cluster
 
     def parse(batches):
         pending, at = [], None
