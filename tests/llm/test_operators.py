@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, and on its edge cases."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -291,6 +292,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert read[ids[2]].block.endswith(b"two\r\n\r\nlines") and read[ids[3]].refers_to == ids[1] and read[ids[3]].block.endswith(b"\r\n\r\n")
 
 
+def test_warc_keeps_each_payload_of_an_id(spark, tmp_path):
+    pages = [(1, "http://a", "<p>one</p>"), (1, "http://a", "<p>another, longer</p>"), (2, "http://b", "<p>another, longer</p>"), (3, "http://c", "three")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    index = warc.deduplicate(warc.captures(df), str(tmp_path / "warc")).collect()
+    assert sorted((r.capture_id, r.record_type, r.refers_to or 0) for r in index) == [(1, "response", 0), (1, "response", 0), (2, "revisit", 1), (3, "response", 0)]
+    read = {r.record_id: r for r in warc.read_archive(spark, str(tmp_path / "warc")).collect()}
+    assert len(read) == 4
+    blocks = {r.digest: bytes(r.block).split(b"\r\n\r\n", 1)[1].decode() for r in read.values() if r.record_type == "response"}
+    assert blocks == {"sha1:" + hashlib.sha1(p.encode()).hexdigest(): p for _, _, p in pages}
+    (revisit,) = (r for r in read.values() if r.record_type == "revisit")
+    assert read[revisit.refers_to].digest == revisit.digest
+
+
 def test_warc_logged_revisits(spark):
     rows = [(1, "revisit", "u1", "d1"), (2, "response", "u2", "d1"), (3, "response", "u3", "d1"), (4, "revisit", "u4", "d9"), (5, "revisit", "u5", None)]
     got = {r.capture_id: (r.record_type, r.refers_to) for r in warc.resolve(spark.createDataFrame(rows, "capture_id long, kind string, uri string, digest string")).collect()}

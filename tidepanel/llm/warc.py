@@ -10,7 +10,8 @@ committed like any table and survives lost executors.
 
 Rows: a capture without id, or without payload and digest, can't be resolved and is left
 out; an empty payload is a payload like any other; of equal captures the lowest id is the
-original; a revisit whose original is in no archive stays a revisit that refers to
+original; an id with several payloads has a record for each, named by id and digest (an id
+with one payload names its record alone); a revisit whose original is in no archive stays a revisit that refers to
 nothing; a NULL URI is written as empty; other columns are ignored; an empty table makes
 an empty archive.
 """
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import cut, shared_dir, spread, table
@@ -46,11 +48,14 @@ def captures(pages: DataFrame) -> DataFrame:
 def resolve(headers: DataFrame) -> DataFrame:
     """(capture_id, record_type, uri, digest, refers_to, refers_to_uri) for each capture.
 
-    ``headers`` has capture_id, kind ('response' or 'revisit'), uri and digest.
+    ``headers`` has capture_id, kind ('response' or 'revisit'), uri and digest. ``several``
+    and ``refers_to_several`` say whether the id has more than one digest.
     """
     h = headers.where("capture_id is not null and digest is not null").select("capture_id", "kind", "uri", "digest").distinct()
-    first = F.min(F.when(F.col("kind") == "response", F.struct("capture_id", "uri"))).alias("o")
-    originals = h.groupBy("digest").agg(first).select("digest", F.col("o.capture_id").alias("o_id"), F.col("o.uri").alias("o_uri"))
+    own = W.partitionBy("capture_id")
+    h = h.withColumn("several", F.min("digest").over(own) != F.max("digest").over(own))
+    first = F.min(F.when(F.col("kind") == "response", F.struct("capture_id", "uri", "several"))).alias("o")
+    originals = h.groupBy("digest").agg(first).select("digest", *(F.col(f"o.{a}").alias(b) for a, b in (("capture_id", "o_id"), ("uri", "o_uri"), ("several", "o_several"))))
     is_original = F.coalesce((F.col("capture_id") == F.col("o_id")) & (F.col("kind") == "response"), F.lit(False))
     return h.join(originals, "digest").select(
         "capture_id",
@@ -59,12 +64,15 @@ def resolve(headers: DataFrame) -> DataFrame:
         "digest",
         F.when(~is_original, F.col("o_id")).alias("refers_to"),
         F.when(~is_original, F.col("o_uri")).alias("refers_to_uri"),
+        "several",
+        F.when(~is_original, F.col("o_several")).alias("refers_to_several"),
     )
 
 
-def record_id(capture_id: Column) -> Column:
+def record_id(capture_id: Column, several: Column) -> Column:
     """A name-based URN, the same whenever the archive is written."""
-    h = F.md5(F.concat(F.lit("capture:"), capture_id.cast("string")))
+    digest = F.when(several, F.concat(F.lit(":"), F.col("digest"))).otherwise("")
+    h = F.md5(F.concat(F.lit("capture:"), capture_id.cast("string"), digest))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -81,12 +89,12 @@ def with_headers(records: DataFrame) -> DataFrame:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     refers = F.when(
         F.col("refers_to").isNotNull(),
-        F.concat(line("WARC-Refers-To", record_id(F.col("refers_to"))), line("WARC-Refers-To-Target-URI", F.col("refers_to_uri"))),
+        F.concat(line("WARC-Refers-To", record_id(F.col("refers_to"), F.col("refers_to_several"))), line("WARC-Refers-To-Target-URI", F.col("refers_to_uri"))),
     ).otherwise("")
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", record_id(F.col("capture_id"))),
+        line("WARC-Record-ID", record_id(F.col("capture_id"), F.col("several"))),
         F.lit(f"WARC-Date: {DATE}{CRLF}"),
         line("WARC-Target-URI", F.col("uri")),
         line("WARC-Payload-Digest", F.col("digest")),
@@ -139,8 +147,8 @@ def deduplicate(captured: DataFrame, path: str) -> DataFrame:
     headers = cut(sizes, "headers")
     sized = headers.groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"))
     index = cut(with_headers(resolve(headers).join(sized, "digest").withColumn("payload_bytes", F.coalesce("payload_bytes", F.lit(0)))), "index")
-    payloads = captured.where("kind = 'response'").select("capture_id", "payload").dropDuplicates(["capture_id"])
-    write_archive(index.join(payloads, "capture_id", "left"), path)
+    payloads = captured.where("kind = 'response'").select("capture_id", "digest", "payload").dropDuplicates(["capture_id", "digest"])
+    write_archive(index.join(payloads, ["capture_id", "digest"], "left"), path)
     return index.select("capture_id", "record_type", "uri", "digest", "refers_to", "content_length", "header")
 
 
