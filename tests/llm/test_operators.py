@@ -123,7 +123,7 @@ def test_repeats_are_held_whole_by_their_partners(spark, method):
     core, left, right = prose(rng, 50), prose(rng, 75), prose(rng, 75)
     a, b = prose(rng, 60), prose(rng, 60)
     rows = [(1, f"{prose(rng, 20)} {core} {prose(rng, 20)}"), (2, f"{prose(rng, 9)} {left} {core} {right} {prose(rng, 9)}"), (3, f"{left} {core} {right}")]
-    rows += [(4, a), (5, b), (6, f"{a} {b}"), (7, "same " * 70), (8, "same " * 60)]
+    rows += [(4, a), (5, b), (6, f"{a} {b}"), (7, "same " * 170), (8, "same " * 80), (9, "a b c " * 90), (10, "a b c " * 90)]
     out = method(docs(spark, rows)).cache()
     text, by_id = {d: words(t) for d, t in rows}, {}
     for r in out.collect():
@@ -132,7 +132,10 @@ def test_repeats_are_held_whole_by_their_partners(spark, method):
         by_id.setdefault(r.repeat_id, []).append((r.doc_id, r.start_token, tuple(own)))
     assert all(len({x[2] for x in rows}) == 1 for rows in by_id.values())
     assert {1, 2, 3} in [{x[0] for x in rows} for rows in by_id.values()]
-    want = set()
+    assert {(r.doc_id, r.start_token, r.n_tokens) for r in out.collect() if r.doc_id > 6} >= {(7, 0, 80), (8, 0, 80), (9, 0, 270), (10, 0, 270)}
+    assert out.where("doc_id = 7").count() < 9 and out.where("doc_id > 7").count() == 3
+    out, want = out.where("doc_id < 7"), set()
+    text = {d: w for d, w in text.items() if d < 7}
     for d, w in text.items():
         for e, v in text.items():
             for p in range(len(w)):

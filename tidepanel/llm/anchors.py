@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, held_by, mix, pack, rolling, spans, spread, table, token_chunks, unpack, versions, window_starts
+from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, matched, mix, pack, rolling, spans, spread, table, token_chunks, unpack_versions, versions, window_starts
 
 MIN_TOKENS = 50
 BLOCK = 25
@@ -51,20 +51,23 @@ def probes(documents: DataFrame, buckets: int, block: int) -> DataFrame:
 
 def probe(t: pa.Table, block: int) -> pa.Table:
     """Windows that equal an indexed block of another document (up to a hash of this bucket)."""
-    doc, version, pos, h = unpack(t, np.uint32, 2)
+    who, ids, pos, h = unpack_versions(t, np.uint32)
+    doc = ids[:, 0]
     indexed = np.flatnonzero(pos % block == 0)
     front = np.zeros(1 << 23, bool)
     front[h[indexed] & np.uint32((1 << 23) - 1)] = True
     maybe = np.flatnonzero(front[h & np.uint32((1 << 23) - 1)])
-    order = indexed[np.lexsort((doc[indexed], h[indexed]))]
+    order = indexed[np.lexsort((who[indexed], h[indexed]))]
     kinds, starts = np.unique(h[order], return_index=True)
     if not len(kinds):
-        return found(doc[:0], doc[:0], pos[:0], doc[:0], doc[:0])
-    low, high = doc[order[starts]], doc[order[np.concatenate((starts[1:], [len(order)])) - 1]]
+        return found(pos[:0], pos[:0], pos[:0], pos[:0], pos[:0])
+    low, high = doc[who[order[starts]]], doc[who[order[np.concatenate((starts[1:], [len(order)])) - 1]]]
     k = np.minimum(np.searchsorted(kinds, h[maybe]), len(kinds) - 1)
-    other = np.where(low[k] != doc[maybe], low[k], high[k])
-    hit = (kinds[k] == h[maybe]) & (other != doc[maybe])
-    return found(doc[maybe[hit]], version[maybe[hit]], pos[maybe[hit]], other[hit], np.zeros(hit.sum(), np.uint64))
+    own = doc[who[maybe]]
+    other = np.where(low[k] != own, low[k], high[k])
+    hit = (kinds[k] == h[maybe]) & (other != own)
+    own, maybe, other = own[hit], maybe[hit], other[hit]
+    return found(own, ids[who[maybe], 1], pos[maybe], other, np.zeros(len(own), np.uint64))
 
 
 def exact_windows(documents: DataFrame, hits: DataFrame, buckets: int, width: int, block: int) -> DataFrame:
@@ -90,24 +93,10 @@ def exact_windows(documents: DataFrame, hits: DataFrame, buckets: int, width: in
     return documents.join(near, ["doc_id", "version"]).mapInArrow(emit, PACKED)
 
 
-def repeated(t: pa.Table) -> pa.Table:
-    """Windows whose hash occurs in another document, with the lowest such document and their occurrences."""
-    doc, version, pos, h = unpack(t, np.uint64, 2)
-    order = np.lexsort((pos, version, doc, h))
-    doc, version, pos, h = doc[order], version[order], pos[order], h[order]
-    # a row that is repeated adds no occurrence
-    once = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (pos[1:] != pos[:-1]))) if len(h) else np.empty(0, bool)
-    doc, version, pos, h = doc[once], version[once], pos[once], h[once]
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, int)
-    sizes = np.diff(np.concatenate((starts, [len(h)])))
-    low = np.repeat(doc[starts], sizes)
-    # second-lowest document of each hash, for the members of the lowest
-    after = np.where(doc != low, doc, np.iinfo(np.int64).max)
-    second = np.repeat(np.minimum.reduceat(after, starts), sizes) if len(h) else after
-    other = np.where(doc != low, low, second)
-    hit = other != np.iinfo(np.int64).max
-    held = np.repeat(np.add.reduceat(held_by(doc, version, pos), starts), sizes) if len(h) else h
-    return found(doc[hit], version[hit], pos[hit], other[hit], held[hit])
+def repeated(t: pa.Table, width: int) -> pa.Table:
+    """Windows whose hash occurs in another document."""
+    who, ids, pos, h = unpack_versions(t, np.uint64)
+    return matched(h, who, ids, pos, width)
 
 
 def spans_of(documents: DataFrame, width: int = MIN_TOKENS, block: int = BLOCK) -> DataFrame:
@@ -117,9 +106,10 @@ def spans_of(documents: DataFrame, width: int = MIN_TOKENS, block: int = BLOCK)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-chars // (6 * ENTRIES_PER_BUCKET)))
     hits = cut(probes(docs, buckets, block).groupBy("bucket").applyInArrow(lambda t: probe(t, block), FOUND).select("doc_id", "version", "pos"), "hits")
-    windows = hits.agg(F.sum(F.length("pos") / 4)).first()[0] or 0
-    buckets = max(8, -(-int(windows) // EXACT_PER_BUCKET))
-    same = cut(exact_windows(docs, hits, buckets, width, block).groupBy("bucket").applyInArrow(repeated, FOUND), "repeated")
+    # a hit is in reach of so many windows
+    windows = min(int(hits.agg(F.sum(F.length("pos") / 4)).first()[0] or 0) * (width - block + 1), chars // 6)
+    buckets = max(8, -(-windows // EXACT_PER_BUCKET))
+    same = cut(exact_windows(docs, hits, buckets, width, block).groupBy("bucket").applyInArrow(lambda t: repeated(t, width), FOUND), "repeated")
     return spans(same, width)
 
 

@@ -205,17 +205,24 @@ def pack(
     return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, PACKED_ARROW.types)], schema=PACKED_ARROW)
 
 
-def unpack(t: pa.Table, kind, columns: int = 1) -> tuple[np.ndarray, ...]:
-    """(doc id's columns, position, value) of all entries of one bucket."""
-    doc, pos, value = [], [], []
+def unpack(t: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc id, position, value) of all entries of one bucket."""
+    who, ids, pos, value = unpack_versions(t, kind, 1)
+    return ids[who, 0], pos, value
+
+
+def unpack_versions(t: pa.Table, kind, columns: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the second, distinct ids in order, position, value) of all entries of one bucket."""
+    ids, counts, pos, value = [], [], [], []
     for d, c, p, v in zip(*(t.column(n) for n in ("docs", "counts", "pos", "value"))):
         p, width = p.as_py(), None
         width = p[0]
-        ids, count = np.frombuffer(d.as_py(), np.int64).reshape(-1, columns), np.frombuffer(c.as_py(), np.uint32)
-        doc.append([np.repeat(x, count) for x in ids.T])
+        ids.append(np.frombuffer(d.as_py(), np.int64).reshape(-1, columns))
+        counts.append(np.frombuffer(c.as_py(), np.uint32))
         pos.append(np.frombuffer(p, np.uint16 if width == 2 else np.uint32, offset=1).astype(np.int64))
         value.append(np.frombuffer(v.as_py(), kind))
-    return *map(np.concatenate, zip(*doc)), np.concatenate(pos), np.concatenate(value)
+    ids, who = np.unique(np.concatenate(ids), axis=0, return_inverse=True)
+    return np.repeat(who.ravel().astype(np.int32), np.concatenate(counts)), ids, np.concatenate(pos), np.concatenate(value)
 
 
 #: Ratio of the powers by which ``held_by`` weighs positions.
@@ -259,6 +266,45 @@ def found(doc: np.ndarray, version: np.ndarray, pos: np.ndarray, other: np.ndarr
     return pa.Table.from_arrays([pa.array(doc[firsts], pa.int64()), pa.array(version[firsts], pa.int64()), *blobs], schema=FOUND_ARROW)
 
 
+def matched(cls: np.ndarray, who: np.ndarray, ids: np.ndarray, pos: np.ndarray, width: int) -> pa.Table:
+    """Occurrences of the windows (equal ``cls``) that two documents have.
+
+    ``who`` is a row of ``ids``, (doc_id, version) in order. Where a document's occurrences
+    of a window overlap (a word said over and over), the k-th of such a series is matched
+    with the k-th of others, and from the start again where all others are shorter.
+    """
+    doc, none = ids[:, 0], np.iinfo(np.int64).max
+    order = np.lexsort((pos, who, cls))
+    cls, who, pos = cls[order], who[order], pos[order]
+    same = (cls[1:] == cls[:-1]) & (who[1:] == who[:-1]) if len(cls) else np.empty(0, bool)
+    once = np.concatenate(([True], ~same | (pos[1:] != pos[:-1])))[: len(cls)]  # a row that is repeated adds none
+    cls, who, pos = cls[once], who[once], pos[once]
+    firsts = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))[: len(cls)])
+    sizes = np.diff(np.concatenate((firsts, [len(cls)])))
+    two = np.repeat(doc[who[firsts]] != doc[who[firsts + sizes - 1]], sizes)
+    cls, who, pos = np.repeat(np.arange(len(firsts)), sizes)[two], who[two], pos[two]
+    if not len(cls):
+        return found(pos, pos, pos, pos, pos)
+    new = np.concatenate(([True], (cls[1:] != cls[:-1]) | (who[1:] != who[:-1]) | (pos[1:] - pos[:-1] >= width)))
+    at = np.arange(len(cls))
+    rank = at - np.maximum.accumulate(np.where(new, at, 0))
+    if rank.any():
+        order = np.lexsort((who, rank, cls))
+        cls, who, pos, rank = cls[order], who[order], pos[order], rank[order]
+    first = np.concatenate(([True], (cls[1:] != cls[:-1]) | (rank[1:] != rank[:-1])))
+    starts, group = np.flatnonzero(first), np.cumsum(first) - 1
+    d = doc[who]
+    low = d[starts]
+    second = np.minimum.reduceat(np.where(d != low[group], d, none), starts)
+    held = np.add.reduceat(held_by(d, ids[who, 1], pos), starts)
+    # groups of one document: its series is longer than all others
+    full = second != none
+    base = np.maximum.accumulate(np.where(rank[starts] == 0, np.arange(len(starts)), 0))
+    ranks = np.add.reduceat(full.astype(np.int64), np.flatnonzero(rank[starts] == 0))[np.cumsum(rank[starts] == 0) - 1]
+    g = np.where(full, np.arange(len(starts)), base + rank[starts] % ranks)[group]
+    return found(d, ids[who, 1], pos, np.where(low[g] != d, low[g], second[g]), held[g])
+
+
 SPANS = "doc_id long, start_token int, n_tokens int, other_doc_id long, repeat_id long, version long"
 SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("start_token", pa.int32()), ("n_tokens", pa.int32()), ("other_doc_id", pa.int64()), ("repeat_id", pa.int64()), ("version", pa.int64())])
 
@@ -274,20 +320,18 @@ def spans(hits: DataFrame, width: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[], [], [], [], [], []]
+            rows = [[np.empty(0, np.int64)] for _ in SPANS_ARROW.types]
             for d, v, *blobs in zip(*(batch.column(c) for c in ("doc_id", "version", "pos", "other", "held"))):
                 p, o, s = (np.frombuffer(b"".join(x.as_py()), k) for x, k in zip(blobs, (np.uint32, np.int64, np.uint64)))
                 p, order = np.unique(p.astype(np.int64), return_index=True)
                 o, s = o[order], s[order]
                 firsts = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 1) | (s[1:] != s[:-1] * np.uint64(_R)))))
                 lasts = np.concatenate((firsts[1:], [len(p)])) - 1
-                rows[0].extend([d.as_py()] * len(firsts))
-                rows[1].extend(p[firsts])
-                rows[2].extend(p[lasts] + width - p[firsts])
-                rows[3].extend(o[firsts])
-                rows[4].extend(mix(s[firsts]).view(np.int64))
-                rows[5].extend([v.as_py()] * len(firsts))
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, SPANS_ARROW.types)], schema=SPANS_ARROW)
+                n = p[lasts] + width - p[firsts]
+                name = mix(s[firsts] + mix(n.astype(np.uint64))).view(np.int64)
+                for r, x in zip(rows, (np.full(len(n), d.as_py()), p[firsts], n, o[firsts], name, np.full(len(n), v.as_py()))):
+                    r.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)).cast(t) for r, t in zip(rows, SPANS_ARROW.types)], schema=SPANS_ARROW)
 
     lists = [F.collect_list(c).alias(c) for c in ("pos", "other", "held")]
     return hits.groupBy("doc_id", "version").agg(*lists).mapInArrow(merge, SPANS)
@@ -296,7 +340,8 @@ def spans(hits: DataFrame, width: int) -> DataFrame:
 def by_pair(repeats: DataFrame, width: int) -> DataFrame:
     """Maximal exact repeats of each pair of documents: spans that both hold, joined on their diagonal.
 
-    This has a row for each pair: a passage of m documents costs m squared here.
+    This has a row for each pair: a passage of m documents costs m squared here. Of words
+    said over and over it has the diagonal on which their series start together.
     """
     mine = repeats.select("repeat_id", "doc_id", "version", "start_token", "n_tokens")
     other = repeats.select("repeat_id", F.col("version").alias("other_version"), F.col("doc_id").alias("other_doc_id"), F.col("start_token").alias("other_start"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm.anchors import repeated
-from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, found, further, held_by, mix, pack, rolling, spans, spread, table, token_chunks, versions, window_starts
+from tidepanel.llm.common import FOUND, PACKED, WordIds, cut, matched, mix, pack, rolling, spans, spread, table, token_chunks, versions, window_starts
 
 MIN_TOKENS = 50
 GRAM = 12
@@ -215,11 +215,7 @@ def sort_bucket(t: pa.Table, width: int, limit: int = BUCKET_TOKENS) -> pa.Table
 
 
 def _sort_runs(doc, version, pos, n, size, start, tokens, width) -> pa.Table:
-    # a row that is repeated adds no occurrence
-    by = np.lexsort((pos, version, doc))
-    by = by[np.concatenate(([True], (np.diff(doc[by]) != 0) | (version[by][1:] != version[by][:-1]) | (np.diff(pos[by]) != 0)))]
-    doc, version, pos, n, size, start = (x[by] for x in (doc, version, pos, n, size, start))
-    # equal runs are sorted once, for their two lowest documents' and all their occurrences' sake
+    # equal runs are sorted once, for their two lowest documents' sake
     take = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     text = tokens[take]
     first = np.cumsum(size) - size
@@ -229,10 +225,8 @@ def _sort_runs(doc, version, pos, n, size, start, tokens, width) -> pa.Table:
     inverse = inverse.ravel()
     by = np.lexsort((doc, inverse))
     starts = np.flatnonzero(np.concatenate(([True], np.diff(inverse[by]) != 0)))
-    none = np.iinfo(np.int64).max
     low = doc[by[starts]]
-    second = np.minimum.reduceat(np.where(doc[by] != low[inverse[by]], doc[by], none), starts)
-    held = np.add.reduceat(held_by(doc, version, pos)[by], starts)
+    high = doc[by[np.concatenate((starts[1:], [len(by)])) - 1]]
     one = by[starts]
     # concatenated text of one run a kind
     s1, n1 = size[one], n[one]
@@ -247,19 +241,19 @@ def _sort_runs(doc, version, pos, n, size, start, tokens, width) -> pa.Table:
     groups = np.flatnonzero(np.concatenate(([True], ~same)))
     sizes = np.diff(np.concatenate((groups, [len(order)])))
     r = run_at[order]
-    glow = np.repeat(np.minimum.reduceat(low[r], groups), sizes)
-    gsecond = np.repeat(np.minimum.reduceat(np.where(low[r] != glow, low[r], second[r]), groups), sizes)
-    gheld = np.repeat(np.add.reduceat(held[r] * further(order - first1[r]), groups), sizes)
-    hit = np.flatnonzero(gsecond != none)
+    lows = np.minimum.reduceat(low[r], groups)
+    highs = np.maximum.reduceat(high[r], groups)
+    hit = np.flatnonzero(np.repeat(lows != highs, sizes))
+    group = np.repeat(np.arange(len(groups)), sizes)
     # back to all runs of each kind
     slot = np.full(len(text), -1, np.int64)
     slot[order[hit]] = hit
     take = np.repeat(first1[inverse] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     k = slot[take]
     ok = k >= 0
-    docs, texts, where = np.repeat(doc, n)[ok], np.repeat(version, n)[ok], (np.repeat(pos - (np.cumsum(n) - n), n) + np.arange(n.sum()))[ok]
-    k = k[ok]
-    return found(docs, texts, where, np.where(glow[k] != docs, glow[k], gsecond[k]), gheld[k])
+    where = (np.repeat(pos - (np.cumsum(n) - n), n) + np.arange(n.sum()))[ok]
+    ids, who = np.unique(np.stack((doc, version), axis=1), axis=0, return_inverse=True)
+    return matched(group[k[ok]], np.repeat(who.ravel(), n)[ok], ids, where, width)
 
 
 def spans_of(documents: DataFrame, width: int = MIN_TOKENS) -> DataFrame:
@@ -267,7 +261,7 @@ def spans_of(documents: DataFrame, width: int = MIN_TOKENS) -> DataFrame:
     docs = spread(versions(documents))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-chars // (6 * 20 * RUNS_PER_BUCKET)))
-    hits = cut(_narrow(docs, buckets, width).groupBy("bucket").applyInArrow(repeated, FOUND).select("doc_id", "version", "pos"), "runs")
+    hits = cut(_narrow(docs, buckets, width).groupBy("bucket").applyInArrow(lambda t: repeated(t, width), FOUND).select("doc_id", "version", "pos"), "runs")
     runs = hits.agg(F.sum(F.length("pos") / 4)).first()[0] or 0
     buckets = max(8, -(-int(runs) * 70 // BUCKET_TOKENS))
     same = cut(_runs(docs, hits, buckets, width).groupBy("bucket").applyInArrow(lambda t: sort_bucket(t, width), FOUND), "suffixes")
