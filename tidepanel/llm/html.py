@@ -7,7 +7,8 @@ of the run of words they stand in; for tags: their name), learned from pages tha
 their content with an ``article`` element. These marks themselves are taken out of every
 page before scoring. About ``fit_pages`` marked pages are used, taken by hash of the id.
 
-The best region is found by one scan over prefix sums. Rows: a NULL html gives a NULL
+The best region is found by one scan over prefix sums. A ``<`` that opens no tag, comment
+or declaration is text; a tag without its ``>`` loses that sign and counts as words. Rows: a NULL html gives a NULL
 text; a page without words gives an empty one; of equal regions the first, then shortest,
 wins; a NULL id is kept; repeated rows are treated alike; other columns are ignored; with
 no marked page the weights are ``DEFAULT``; an empty table gives no rows.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import spread, table
 
 FIT_PAGES = 4000
-TOKEN = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<\s]+", re.S | re.I)
+#: Comments, scripts, styles and tags, whose quoted values may hold a >; the rest are words. A < that opens no tag is text.
+TOKEN = re.compile(r"""<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|</?[a-zA-Z](?:[^<>"']|"[^"<]*"|'[^'<]*')*>|<[a-zA-Z/!?][^<>]*>|(?:[^<\s]|<(?![a-zA-Z/!?]))+""", re.S | re.I)
+OPENS = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!?")
 NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
 MARKS = {"article", "main"}
 TAGS = set(
@@ -45,7 +48,7 @@ def tokenize(page: str) -> tuple[list[str], list[str], int, int]:
     """(tokens, kinds, start, end): start and end are the marked content, or -1."""
     out, names, start, end, link = [], [], -1, -1, False
     for t in TOKEN.findall(page):
-        if t[0] != "<":
+        if t[0] != "<" or t[1:2] not in OPENS:
             out.append(t)
             names.append("wa" if link else "w")
             continue
