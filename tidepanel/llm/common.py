@@ -8,6 +8,7 @@ becomes of those rows.
 from __future__ import annotations
 
 import re
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -37,32 +38,51 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set (tests)."""
+    """The folder that all executors share. Only a session inside one JVM (tests) may leave it unset."""
     conf = spark.sparkContext.getConf()
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     return base.rstrip("/")
 
 
+_cutting, _lock, _before = 0, threading.Lock(), None
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     This cuts the lineage in a way that outlives executors, and lets Spark drop the
-    shuffle files behind the written table at once instead of at the end of the job.
+    shuffle files behind the written table at once instead of at the end of the job. The
+    setting for that is the session's, so that it is restored when the last write ends.
     """
+    global _cutting, _before
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    with _lock:
+        if not _cutting:
+            _before = spark.conf.get(_CLEAN, None)
+            spark.conf.set(_CLEAN, "true")
+        _cutting += 1
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _lock:
+            _cutting -= 1
+            if not _cutting:
+                spark.conf.unset(_CLEAN) if _before is None else spark.conf.set(_CLEAN, _before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a result of ``cut`` that nothing will read any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
