@@ -55,26 +55,52 @@ def contaminated(rng):
     return items, rows
 
 
-@pytest.mark.parametrize("tokens_per_pass", [400_000, 100])
-def test_leaks_equal_brute_force(spark, tokens_per_pass):
+@pytest.mark.parametrize("filter_bits", [decontaminate.FILTER_BITS, 1 << 15])
+def test_leaks_equal_brute_force(spark, filter_bits):
     items, rows = contaminated(random.Random(1))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), bench, tokens_per_pass).collect()}
+    found = {tuple(r[c] for c in ("doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_matched")) for r in decontaminate.leaks(docs(spark, rows), bench, filter_bits=filter_bits).collect()}
     want = decontaminate.brute(rows, items)
-    assert found == want and len(want) >= 20
-    kept = {r.doc_id for r in decontaminate.clean(docs(spark, rows), bench, tokens_per_pass).collect()}
-    assert kept == {d for d, _ in rows} - {d for d, _ in want}
+    assert found == want and len({x[:2] for x in want}) >= 20
+    for limit in (decontaminate.BROADCAST_TEXTS, 0):
+        kept = {r.doc_id for r in decontaminate.clean(docs(spark, rows), bench, filter_bits=filter_bits, broadcast_texts=limit).collect()}
+        assert kept == {d for d, _ in rows} - {x[0] for x in want}
+
+
+def test_a_full_filter_changes_no_result(spark):
+    items, rows = contaminated(random.Random(2))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    full = decontaminate.leaks(docs(spark, rows), bench, bits_per_key=1, filter_bits=1 << 15)
+    assert sorted(full.collect()) == sorted(decontaminate.leaks(docs(spark, rows), bench).collect())
+
+
+def test_stretches_are_unions_of_windows(spark):
+    item = prose(random.Random(44), 100)
+    a, b = item.split()[:20], item.split()[-20:]
+    rows = [(1, " ".join(a + ["x"] * 60 + b)), (2, " ".join(a + ["x"] * 59 + b)), (1, item)]
+    bench = spark.createDataFrame([(9, item), (9, prose(random.Random(45), 30))], "item_id long, text string")
+    got = decontaminate.leaks(docs(spark, rows), bench).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(1, 9, 0, 0, 22, 20), (1, 9, 78, 78, 22, 20), (1, 9, 0, 0, 100, 100), (2, 9, 0, 0, 22, 20), (2, 9, 77, 78, 22, 20)])
+    assert {tuple(r) for r in got} == decontaminate.brute(rows, [(9, item)])
 
 
 def test_leaks_edges(spark):
-    bench = spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, "a b c d e"), (3, "")], "item_id long, text string")
-    rows = [*EDGE, (7, "so ONE two, three four -- five six!"), (7, "so ONE two, three four -- five six!")]
+    bench = spark.createDataFrame([(1, "one two three four five six", 5), (2, None, 5), (None, "a b c d e", 5), (3, "", 5), (1, "one two three four five six", 5)], "item_id long, text string, key int")
+    leak = "so ONE two, three four -- five six!"
+    rows = [*EDGE, (7, leak), (7, leak), (None, leak), (8, "the a b c d e text")]
     out = decontaminate.leaks(docs(spark, rows), bench).collect()
     assert [(r.doc_id, r.item_id, r.doc_start, r.n_tokens) for r in out] == [(7, 1, 1, 6)]
     cleaned = decontaminate.clean(docs(spark, rows), bench)
-    assert cleaned.columns == docs(spark, rows).columns and cleaned.count() == len(EDGE)
-    assert decontaminate.leaks(docs(spark, []), bench).count() == 0
-    assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
+    assert cleaned.columns == docs(spark, rows).columns and sorted((r.doc_id for r in cleaned.collect()), key=str) == sorted([*(d for d, _ in EDGE), 8], key=str)
+    assert decontaminate.leaks(docs(spark, []), bench).count() == 0 and decontaminate.clean(docs(spark, []), bench).count() == 0
+    assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0 and decontaminate.clean(docs(spark, rows), bench.limit(0)).count() == len(rows)
+
+
+def test_filter_holds_all_keys(spark):
+    keys = np.random.default_rng(46).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    found = decontaminate.bloom(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long"), 32, 1 << 20)
+    assert len(decontaminate.passing(keys, found)) == 5000
+    assert len(decontaminate.passing(np.random.default_rng(47).integers(0, 1 << 64, 50_000, dtype=np.uint64), found)) < 100
 
 
 # == substring dedup

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": decontaminate.SQL,
     "op3_quality_rules": quality.SQL,
     "op6_warc_revisits": warc.SQL,
     "op10_chat_formatting": chat.SQL,
