@@ -14,7 +14,7 @@ words (one word) of the abusive vocabulary. That vocabulary is learned from ``la
 least 1 % (and 5) of the toxic documents and nine times as many toxic as other ones,
 over at most ``labelled`` labelled documents, taken by hash of their id.
 
-Rows: a NULL text has no words and is rejected; a NULL source is a host of its own; a
+Rows: very long texts are measured whole; a NULL text has no words and is rejected; a NULL source is a host of its own; a
 NULL id is judged like any other; repeated rows are judged and counted each; other
 columns are kept; with no labels the vocabulary is empty; with one host, or hosts of
 equal rates, the prior weighs ``PRIOR_MAX`` documents.
@@ -30,13 +30,13 @@ from tidepanel.llm.common import cut, spread, table
 HOST_LIMIT = 0.4
 LABELLED = 20_000
 PRIOR_MAX = 1000.0
-#: Hosts whose verdicts are sent to every task; more are joined by key.
+#: Hosts whose figures, or bad hosts whose names, are sent to every task; more are joined by key.
 BROADCAST_HOSTS = 200_000
 FLAGS = ["n_gross", "n_mild"]
 
 
 def _words(text):
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[ \t\n\r.,;:!?]+", " "), " "), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), r"[ \t\n\r.,;:!?]+"), "")
 
 
 def vocabulary(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> list[str]:
@@ -101,35 +101,40 @@ def hosts(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     )
 
 
-def _judged(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Measured rows that stay, with their host's verdict."""
-    verdicts = cut(verdicts, "hosts")
-    side = F.broadcast(verdicts) if verdicts.count() <= BROADCAST_HOSTS else verdicts
-    joined = measured.join(side, F.col("source").eqNullSafe(F.col("host")))
-    return joined.where("n_gross = 0 and not (host_bad and n_mild > 0)")
+def kept(documents: DataFrame, labels: DataFrame, host_limit: float = HOST_LIMIT, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """(doc_id, source, n_mild, host figures) of the documents that stay; one pass over texts.
 
-
-def kept(documents: DataFrame, labels: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """(doc_id, source, n_mild, host figures) of the documents that stay; one pass over texts."""
+    Every row names its host's figures, so that all hosts are joined: narrow rows, whose
+    shuffle beyond ``broadcast_hosts`` hosts adaptive execution splits where one is hot.
+    """
     abusive = vocabulary(documents, labels)
     narrow = cut(measure(documents.select("doc_id", "source", "text"), abusive).drop("text"), "measured")
-    return _judged(narrow, hosts(narrow, host_limit)).drop("host", "n_gross")
+    verdicts = cut(hosts(narrow, host_limit), "hosts")
+    side = F.broadcast(verdicts) if verdicts.count() <= broadcast_hosts else verdicts.hint("merge")
+    joined = narrow.where("n_gross = 0").join(side, F.col("source").eqNullSafe(F.col("host")))
+    return joined.where("not (host_bad and n_mild > 0)").drop("host", "n_gross")
 
 
-def clean(documents: DataFrame, labels: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+def clean(documents: DataFrame, labels: DataFrame, host_limit: float = HOST_LIMIT, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """The documents that stay, with their own columns.
 
-    The texts are measured twice, for the hosts and again where they are kept: cheaper
-    than a shuffle of all texts to meet the verdicts by id.
+    Texts are measured once and written with their flags (rejected ones without their
+    text); a verdict concerns only mild failures of bad hosts. The bad hosts are sent to
+    every task, or, beyond ``broadcast_hosts`` of them, the mild failures alone are
+    shuffled: no text without a failure ever moves by its host.
     """
-    base = documents.select(*(F.col(f"`{c}`").alias(f"in_{c}") for c in documents.columns), "text", "source")
+    own = [F.col(f"`{c}`").alias(f"in_{c}") for c in documents.columns]
     abusive = vocabulary(documents, labels)
-    verdicts = hosts(measure(documents.select("source", "text"), abusive).drop("text"), host_limit)
-    # an explode keeps the predicates on the flags above their computation: pushed below it,
-    # they would evaluate every rule a second time
-    flags = F.explode(F.array(F.struct(*FLAGS))).alias("_flags")
-    measured = measure(base, abusive).select("source", *base.columns[: len(documents.columns)], flags).select("*", "_flags.*")
-    rows = _judged(measured, verdicts)
+    flags = measure(documents.select(*own, "text", "source"), abusive)
+    text = F.when(F.col("n_gross") == 0, F.col("in_text")).alias("in_text")
+    measured = cut(flags.select("source", *FLAGS, *(text if c == "text" else F.col(f"`in_{c}`") for c in documents.columns)), "measured")
+    bad = cut(hosts(measured, host_limit).where("host_bad").select("host"), "bad_hosts")
+    of_host = F.col("source").eqNullSafe(F.col("host"))
+    rows = measured.where("n_gross = 0")
+    if bad.count() <= broadcast_hosts:
+        rows = rows.join(F.broadcast(bad), of_host & (F.col("n_mild") > 0), "left_anti")
+    else:
+        rows = rows.where("n_mild = 0").unionByName(rows.where("n_mild > 0").join(bad.hint("merge"), of_host, "left_anti"))
     return rows.select(*(F.col(f"`in_{c}`").alias(c) for c in documents.columns))
 
 
@@ -139,7 +144,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DOC_WORDS = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r.,;:!?]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
-#: CTEs up to ``judged``, shared with the pipeline's SQL.
+#: CTEs up to ``judged``.
 CTES = rf"""
 sample as (select distinct doc_id, toxic from labels where doc_id is not null and toxic is not null order by md5(cast(doc_id as varchar)), toxic limit {LABELLED}),
 doc_words as (select s.doc_id, s.toxic, unnest(list_distinct({_DOC_WORDS})) as word from documents d join sample s using (doc_id)),
