@@ -15,7 +15,8 @@ is a row a batch and not a row a document, and equal lines meet before templates
 formed: a leaf holds distinct lines only. Their counts add up to an upper bound for the
 template; where it reaches ``min_docs``, documents are counted over the occurrences.
 
-Rows: a NULL id or NULL text is neither counted nor changed; blank lines are kept; a
+Rows: a NULL id or NULL text is neither counted nor changed; very long texts and lines
+count whole; blank lines are kept; a
 document of which no line is left goes; a line repeated in one document counts once
 there; ties between templates go to the earlier one, lines being taken most frequent
 first, then by text; repeated rows and repeated ids are cut alike; other columns are kept; an empty
@@ -56,23 +57,35 @@ def leaf(line: str) -> int:
 
 
 def templates(lines: list[str], counts: list[int], similarity: float = SIMILARITY) -> list[tuple[list[int], list[str]]]:
-    """Clusters of the lines of one leaf: (members' indexes, template tokens)."""
+    """Clusters of the lines of one leaf: (members' indexes, template tokens).
+
+    A template that agrees in all but ``spare`` positions agrees in one of any
+    ``spare`` + 1 of them, so that a line meets only the templates that share its rarest
+    tokens, and a leaf of many unlike lines costs little more than its length.
+    """
     ids: dict[str, int] = {}
     rows = [tokens(x) for x in lines]
     matrix = np.array([[ids.setdefault(t, len(ids)) for t in r] for r in rows], np.int64).reshape(len(rows), -1)
     width = matrix.shape[1]
-    found, members = np.empty((16, width), np.int64), []
+    spare = int(np.floor(width - similarity * width + 1e-9))
+    found, members, having = np.empty((16, width), np.int64), [], {}
     for i in sorted(range(len(lines)), key=lambda k: (-counts[k], lines[k])):
         row = matrix[i]
-        if members:
-            same = (found[: len(members)] == row).sum(axis=1)
+        cells = [(p, t) for p, t in enumerate(row.tolist())]
+        lists = sorted((having.get(c, ()) for c in cells), key=len)[: spare + 1]
+        near = np.array(sorted(set().union(*lists)), np.int64)
+        if len(near):
+            same = (found[near] == row).sum(axis=1)
             best = int(same.argmax())
             if same[best] >= similarity * width:
+                best = int(near[best])
                 found[best][found[best] != row] = -1
                 members[best].append(i)
                 continue
         if len(members) == len(found):
             found = np.concatenate((found, np.empty_like(found)))
+        for c in cells:
+            having.setdefault(c, []).append(len(members))
         found[len(members)] = row
         members.append([i])
     names = list(ids)
@@ -190,7 +203,8 @@ def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: f
     hits = at.join(_enough(at, min_docs), "cluster", "left_semi").where("not (id = keep_doc and no = keep_line)")
     by_id, drop, kept = (fresh(documents, n) for n in ("drops_id", "drops", "kept_text"))
     drops = cut(hits.groupBy(F.col("id").alias(by_id)).agg(F.collect_set("no").alias(drop)), "drops")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(drop, i))
+    lines = F.split("text", "\n")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     # the same plan at every size: an automatic broadcast would switch to this one anyway
     out = documents.join(drops.hint("merge"), F.col("doc_id") == F.col(by_id), "left").withColumn(kept, text)
