@@ -5,11 +5,14 @@ runs over (length, count) pairs: all pieces of one length are placed together, a
 with the same room are one interval of bin numbers, so that the plan's size depends on
 the capacity and not on the corpus. A piece takes its planned slot by joining on its
 length and its rank within that length. Ranks come from row numbers inside (length,
-salt) cells and the cells' running counts: no length, however common, is one task.
+salt) cells and the cells' running counts; a length has a salt for every ``CELL_ROWS`` of
+its pieces, so that no length, however common, is one task, at any size of the corpus.
+``sequences`` then fills the bins with their token ids.
 
 Rows: a NULL id or a text without tokens (NULL, empty) has nothing to pack and gets no
-slot; repeated rows are packed each; ties in length are ordered by hash of (id, piece)
-and then id; other columns are ignored; an empty table gives no bins.
+slot; repeated rows are packed each; very long texts are cut into as many pieces as they
+need; ties in length are ordered by salt, then id, piece and text; other columns are
+ignored; an empty table gives no bins.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import cut, spread, table
 
 CAPACITY = 2048
-SALTS = 64
+#: Pieces of one length that are ranked by one task.
+CELL_ROWS = 500_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Pieces of text whose token counts a worker remembers.
@@ -52,13 +57,30 @@ class PieceCounts(dict):
         return n
 
 
+class PieceTokens(PieceCounts):
+    """Pre-token -> its BPE tokens, as packed 32-bit integers."""
+
+    def __missing__(self, piece: str) -> bytes:
+        b = np.array(self.encoding.encode_ordinary(piece), np.int32).tobytes()
+        if len(self) < MEMO_PIECES:
+            self[piece] = b
+        return b
+
+
+def shipped(spark: SparkSession, tokenizer: str) -> str:
+    """The name under which every worker finds the tokenizer's file."""
+    spark.sparkContext.addFile(tokenizer)
+    return tokenizer.rsplit("/", 1)[-1]
+
+
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) under the byte-level BPE at ``tokenizer``, a file on every worker."""
+    """(doc_id, n_tokens) under the byte-level BPE at ``tokenizer``, which is sent to the workers."""
+    name = shipped(documents.sparkSession, tokenizer)
 
     def count(batches):
         import regex
 
-        pieces, counts = regex.compile(PATTERN), PieceCounts(tokenizer)
+        pieces, counts = regex.compile(PATTERN), PieceCounts(SparkFiles.get(name))
         for batch in batches:
             n = [sum(map(counts.__getitem__, pieces.findall(t.as_py()))) if t.is_valid else 0 for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
@@ -67,6 +89,27 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return spread(ids).mapInArrow(count, "doc_id long, n_tokens long")
 
 
+def token_ids(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, version, n_tokens, tokens): as ``token_counts``, with the tokens; version is the text's hash."""
+    name = shipped(documents.sparkSession, tokenizer)
+
+    def encode(batches):
+        import regex
+
+        pieces, tokens = regex.compile(PATTERN), PieceTokens(SparkFiles.get(name))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                blobs = [b"".join(map(tokens.__getitem__, pieces.findall(t.as_py()))) if t.is_valid else b"" for t in batch.column("text")]
+                n = np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs))
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(n), lists], names=["doc_id", "version", "n_tokens", "tokens"])
+
+    ids = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    return spread(ids).mapInArrow(encode, "doc_id long, version long, n_tokens long, tokens array<int>")
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Best-fit decreasing over counts: (length, rank_from, rank_to, bin_from, per_bin, start).
 
@@ -109,18 +152,26 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Slots for (doc_id, n_tokens): (bin_id, start, doc_id, piece, n_tokens)."""
+def best_fit(lengths: DataFrame, capacity: int = CAPACITY, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Slots for (doc_id, n_tokens, ...): (bin_id, start, doc_id, piece, n_tokens, ...).
+
+    ``lengths`` may have a ``version``, which orders the rows of an id, and ``tokens``,
+    of which each slot gets its piece's part.
+    """
     spark = lengths.sparkSession
     n, c = F.col("n_tokens"), F.lit(capacity)
+    more = [x for x in ("version", "tokens") if x in lengths.columns]
     pieces = (
         lengths.where("doc_id is not null and n_tokens > 0")
-        .select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.ceil(n / c).cast("int") - 1)).alias("piece"))
-        .select("doc_id", "piece", F.least(c.cast("long"), n - F.col("piece") * c).cast("int").alias("length"))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+        .select("doc_id", "n_tokens", *more, F.explode(F.sequence(F.lit(0), F.ceil(n / c).cast("int") - 1)).alias("piece"))
+        .select("doc_id", "piece", *(F.slice("tokens", F.col("piece") * c + 1, c).alias(x) if x == "tokens" else x for x in more), F.least(c.cast("long"), n - F.col("piece") * c).cast("int").alias("length"))
     )
-    # At most capacity x SALTS cells and a few slots a length: bounded by the parameters.
-    cells = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
+    # at most ``capacity`` rows
+    sizes = [(r.length, max(1, -(-r.n // cell_rows))) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()]
+    salts = spark.createDataFrame(sizes, "length int, salts int")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts")).cast("int")).drop("salts")
+    # a row for every ``cell_rows`` pieces, besides a row for each length
+    cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
     histogram: dict[int, int] = {}
     befores = []
     for row in sorted(cells):
@@ -128,8 +179,8 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         histogram[row.length] = histogram.get(row.length, 0) + row.n
     before = spark.createDataFrame(befores, "length int, salt int, before long")
     slots = spark.createDataFrame(plan(histogram, capacity), SLOTS)
-    inside = W.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    rank = pieces.withColumn("k", F.row_number().over(inside) - 1).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("k") + F.col("before"))
+    inside = W.partitionBy("length", "salt").orderBy("doc_id", "piece", *more[:1])
+    rank = salted.withColumn("k", F.row_number().over(inside) - 1).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("k") + F.col("before"))
     nth = F.col("rank") - F.col("rank_from")
     return (
         rank.join(F.broadcast(slots), "length")
@@ -140,6 +191,7 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             "doc_id",
             "piece",
             F.col("length").alias("n_tokens"),
+            *more,
         )
     )
 
@@ -149,6 +201,14 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     return best_fit(cut(token_counts(documents, tokenizer), "lengths"), capacity)
 
 
+def sequences(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The bins, filled: (bin_id, n_tokens, doc_ids, pieces, starts, tokens), pieces in the order of their starts."""
+    slots = best_fit(cut(token_ids(documents, tokenizer), "tokens"), capacity)
+    filled = slots.groupBy("bin_id").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "piece", "tokens"))).alias("slots"))
+    tokens = F.flatten("slots.tokens")
+    return filled.select("bin_id", F.size(tokens).alias("n_tokens"), F.col("slots.doc_id").alias("doc_ids"), F.col("slots.piece").alias("pieces"), F.col("slots.start").alias("starts"), tokens.alias("tokens"))
+
+
 def brute(lengths: list[int], capacity: int) -> int:
     """Bins that best-fit decreasing over single pieces opens; for tests."""
     pieces = [p for n in lengths for p in [capacity] * (n // capacity) + [n % capacity] if p]
