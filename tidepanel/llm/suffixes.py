@@ -1,22 +1,27 @@
-"""Substring dedup by a suffix array built one bucket at a time.
-
-Suffixes are dealt to buckets by the smallest hash of the 12-token grams in their first
-50 tokens: suffixes that share 50 tokens share the bucket, and neighbouring suffixes share
-it too, so that a bucket receives short runs of text and not 50 tokens a suffix. Gram
-hashes seen in one document only are settled by a first, narrow exchange: their suffixes
-have no long tie. The rest is sorted a bucket at a time, over the bucket's own text:
-
-1. ranks of all positions by their first 16 tokens, by doubling;
-2. ranks of the difference-cover sample (5 of 16 positions) to the end of the text,
-   by doubling over the sample alone;
-3. suffixes sorted by their 16-token rank; longer ties are resolved by the sample ranks
-   at the offset, below 16, at which both suffixes fall on the cover;
+"""Substring dedup by a suffix array built blockwise with a difference cover.
+
+A distributed suffix array would move every suffix with the 16 tokens and the five cover
+ranks that its comparisons need, some 100 bytes a token, so suffixes are first dealt to
+blocks in which they share their text: by the smallest hash of the 12-token grams in
+their first 50 tokens. Suffixes that share 50 tokens share the block, and neighbouring
+suffixes share it too, so that a block receives short runs of text. Gram hashes seen in
+one document only are settled by a first, narrow exchange: their suffixes have no long
+tie. Of the rest, the suffix array of each block's text is built one suffix bucket at a
+time:
+
+1. ranks of the difference-cover sample (5 of 16 positions) to the end of the text are
+   computed before any bucket, by doubling over the sample alone;
+2. splitters on the first two tokens cut the suffixes into lexicographic buckets of about
+   ``SUFFIXES``, of which one is in memory at a time;
+3. a bucket is sorted by the first 16 tokens; longer ties are resolved by the sample
+   ranks at the offset, below 16, at which both suffixes fall on the cover;
 4. neighbours in the array that agree in 50 tokens form groups, and a group with two
    documents or more is repeated text. Successive windows are joined as long as the same
    places hold them, as in ``anchors``.
 
-Memory is bounded by the bucket (``BUCKET_TOKENS``, cut at whole gram hashes; equal runs
-are sorted once), and the number of buckets grows with the corpus.
+Memory is bounded by the block's text (``BLOCK_TOKENS``, cut at whole gram hashes; equal
+runs are sorted once) and one bucket; the number of blocks grows with the corpus. The
+places of one gram hash are in one task, however many there are.
 
 Rows: NULL ids and NULL texts are left out; texts under 50 tokens hold no repeat; a
 passage repeated only inside one document is none; rows that repeat an id are one
@@ -25,6 +30,8 @@ document, whose texts, where they differ, have positions of their own; very long
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +45,9 @@ GRAM = 12
 PERIOD = 16
 COVER = (0, 1, 2, 5, 8)
 RUNS_PER_BUCKET = 500_000
-BUCKET_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_000_000
+#: Suffixes that are sorted at once.
+SUFFIXES = 250_000
 RUNS = "bucket int, key binary, docs binary, versions binary, pos binary, suffixes binary, tokens binary"
 _RUNS = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("key", "docs", "versions", "pos", "suffixes", "tokens")])
 _IN_COVER = np.isin(np.arange(2 * PERIOD) % PERIOD, COVER)
@@ -112,26 +121,37 @@ def _paired(rank: np.ndarray, after: np.ndarray) -> np.ndarray:
     return _dense(rank << np.uint64(32) | after)
 
 
-def ranks(text: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Ranks of all positions by their first PERIOD tokens; a run's end sorts first."""
-    rank, size, at = _dense(text.astype(np.uint64)), 1, np.arange(len(text))
-    while size < PERIOD:
-        there = at + size < end
-        after = np.zeros(len(text), np.uint64)
-        after[there] = rank[at[there] + size]
-        rank = _paired(rank, after)
-        size *= 2
-    return rank
-
-
-def cover_ranks(rank: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Ranks, to the ends of their runs, of the positions on the cover (0 elsewhere)."""
-    at = np.flatnonzero(_IN_COVER[np.arange(len(rank)) % PERIOD])
-    out = np.zeros(len(rank), np.uint64)
-    r, size, longest = _dense(rank[at]), PERIOD, int((end[at] - at).max(initial=0))
+def columns(text: np.ndarray, end: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The PERIOD tokens from each position, two to a column; 0 beyond the run's end."""
+    padded = np.concatenate((text, np.zeros(PERIOD, text.dtype))).astype(np.uint64)
+    token = lambda s: np.where(at + s < end[at], padded[at + s], np.uint64(0))
+    return [token(s) << np.uint64(32) | token(s + 1) for s in range(0, PERIOD, 2)]
+
+
+def changes(cols: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Whether each row in order differs from the one before."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in cols:
+        v = c[order]
+        new[1:] |= v[1:] != v[:-1]
+    return new
+
+
+def cover_ranks(text: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Ranks, to the ends of their runs, of the positions on the cover (0 elsewhere). Tokens are 1 or more."""
+    at = np.flatnonzero(_IN_COVER[np.arange(len(text)) % PERIOD])
+    out = np.zeros(len(text), np.uint64)
+    if not len(at):
+        return out
+    cols = columns(text, end, at)
+    order = np.lexsort(cols[::-1])
+    r = np.empty(len(at), np.uint64)
+    r[order] = np.cumsum(changes(cols, order)).astype(np.uint64)
+    size, longest = PERIOD, int((end[at] - at).max())
     while True:
         out[at] = r
-        if size >= longest or (len(r) and int(r.max()) == len(r)):
+        if size >= longest or int(r.max()) == len(r):
             return out
         there = at + size < end[at]
         after = np.zeros(len(at), np.uint64)
@@ -140,13 +160,26 @@ def cover_ranks(rank: np.ndarray, end: np.ndarray) -> np.ndarray:
         size *= 2
 
 
-def suffix_array(text: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes ``at`` in order, ranks by PERIOD tokens). Each has PERIOD tokens or more."""
-    rank = ranks(text, end)
-    cover = cover_ranks(rank, end)
-    at = at[np.argsort(rank[at], kind="stable")]
-    r = rank[at]
-    firsts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+def buckets_of(text: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """The suffixes dealt by splitters on their first two tokens, in the buckets' order."""
+    key = text[at].astype(np.uint64) << np.uint64(32) | text[at + 1]
+    n = -(-len(at) // size)
+    if n <= 1:
+        return [at]
+    sample = np.sort(key[:: max(1, len(key) // (64 * n))])
+    splitters = np.unique(sample[np.arange(1, n) * len(sample) // n])
+    bucket = np.searchsorted(splitters, key, "right")
+    order = np.argsort(bucket.astype(np.uint16), kind="stable") if n < 65536 else np.argsort(bucket, kind="stable")
+    return [x for x in np.split(at[order], np.cumsum(np.bincount(bucket, minlength=len(splitters) + 1))[:-1]) if len(x)]
+
+
+def sorted_bucket(text: np.ndarray, end: np.ndarray, at: np.ndarray, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes ``at`` in order, whether each ties with the one before in PERIOD tokens). Each has PERIOD tokens or more."""
+    cols = columns(text, end, at)
+    order = np.lexsort(cols[::-1])
+    new = changes(cols, order)
+    at = at[order]
+    firsts = np.flatnonzero(new)
     sizes = np.diff(np.concatenate((firsts, [len(at)])))
     inside = np.arange(len(at)) - np.repeat(firsts, sizes)
     size = np.repeat(sizes, sizes)
@@ -182,19 +215,24 @@ def suffix_array(text: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.
         out = np.empty(len(big), np.int64)
         out[big.searchsorted(firsts[np.repeat(np.arange(len(firsts)), sizes)[big]]) + place] = suffix
         at[big] = out
-    return at, rank
+    return at, ~new
 
 
-def shared_prefix(a: np.ndarray, b: np.ndarray, rank: np.ndarray, width: int) -> np.ndarray:
-    """Whether suffixes agree in ``width`` tokens: PERIOD-token ranks that cover them agree."""
-    steps = [*range(0, width - PERIOD + 1, PERIOD), width - PERIOD]
-    same = np.ones(len(a), bool)
-    for s in steps:
-        same &= rank[a + s] == rank[b + s]
-    return same
+def suffix_array(text: np.ndarray, end: np.ndarray, at: np.ndarray, width: int, size: int = SUFFIXES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(suffixes in order, whether each shares ``width`` tokens with the one before), a bucket at a time."""
+    text = _dense(text).astype(np.uint32)
+    cover = cover_ranks(text, end)
+    for bucket in buckets_of(text, at, size):
+        order, same = sorted_bucket(text, end, bucket, cover)
+        i = np.flatnonzero(same)
+        for s in range(PERIOD, width):  # ties thin out fast
+            i = i[text[order[i] + s] == text[order[i - 1] + s]]
+        same = np.zeros(len(order), bool)
+        same[i] = True
+        yield order, same
 
 
-def sort_bucket(t: pa.Table, width: int, limit: int = BUCKET_TOKENS) -> pa.Table:
+def sort_bucket(t: pa.Table, width: int, limit: int = BLOCK_TOKENS) -> pa.Table:
     """Suffixes of the bucket that share ``width`` tokens with another document's."""
     cols = [np.concatenate([np.frombuffer(x.as_py(), k) for x in t.column(n)]) for n, k in (("key", np.uint64), ("docs", np.int64), ("versions", np.int64), ("pos", np.uint32), ("suffixes", np.uint32), ("tokens", np.uint32))]
     key, doc, version, pos, n, tokens = cols[0], cols[1], cols[2], cols[3].astype(np.int64), cols[4].astype(np.int64), cols[5]
@@ -233,27 +271,23 @@ def _sort_runs(doc, version, pos, n, size, start, tokens, width) -> pa.Table:
     take = np.repeat(first[one] - (np.cumsum(s1) - s1), s1) + np.arange(s1.sum())
     text, first1 = text[take], np.cumsum(s1) - s1
     end = np.repeat(first1 + s1, s1)
-    run_of = np.repeat(np.arange(len(one)), n1)
     at = np.repeat(first1 - (np.cumsum(n1) - n1), n1) + np.arange(n1.sum())
-    order, rank = suffix_array(text, end, at)
     run_at = np.repeat(np.arange(len(one)), s1)
-    same = shared_prefix(order[1:], order[:-1], rank, width)
-    groups = np.flatnonzero(np.concatenate(([True], ~same)))
-    sizes = np.diff(np.concatenate((groups, [len(order)])))
-    r = run_at[order]
-    lows = np.minimum.reduceat(low[r], groups)
-    highs = np.maximum.reduceat(high[r], groups)
-    hit = np.flatnonzero(np.repeat(lows != highs, sizes))
-    group = np.repeat(np.arange(len(groups)), sizes)
+    group, n_groups = np.full(len(text), -1, np.int64), 0
+    for order, same in suffix_array(text, end, at, width):
+        groups = np.flatnonzero(~same)
+        sizes = np.diff(np.concatenate((groups, [len(order)])))
+        r = run_at[order]
+        hit = np.repeat(np.minimum.reduceat(low[r], groups) != np.maximum.reduceat(high[r], groups), sizes)
+        group[order[hit]] = n_groups + np.repeat(np.arange(len(groups)), sizes)[hit]
+        n_groups += len(groups)
     # back to all runs of each kind
-    slot = np.full(len(text), -1, np.int64)
-    slot[order[hit]] = hit
     take = np.repeat(first1[inverse] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    k = slot[take]
+    k = group[take]
     ok = k >= 0
     where = (np.repeat(pos - (np.cumsum(n) - n), n) + np.arange(n.sum()))[ok]
     ids, who = np.unique(np.stack((doc, version), axis=1), axis=0, return_inverse=True)
-    return matched(group[k[ok]], np.repeat(who.ravel(), n)[ok], ids, where, width)
+    return matched(k[ok], np.repeat(who.ravel(), n)[ok], ids, where, width)
 
 
 def spans_of(documents: DataFrame, width: int = MIN_TOKENS) -> DataFrame:
@@ -263,7 +297,7 @@ def spans_of(documents: DataFrame, width: int = MIN_TOKENS) -> DataFrame:
     buckets = max(8, -(-chars // (6 * 20 * RUNS_PER_BUCKET)))
     hits = cut(_narrow(docs, buckets, width).groupBy("bucket").applyInArrow(lambda t: repeated(t, width), FOUND).select("doc_id", "version", "pos"), "runs")
     runs = hits.agg(F.sum(F.length("pos") / 4)).first()[0] or 0
-    buckets = max(8, -(-int(runs) * 70 // BUCKET_TOKENS))
+    buckets = max(8, -(-int(runs) * 70 // BLOCK_TOKENS))
     same = cut(_runs(docs, hits, buckets, width).groupBy("bucket").applyInArrow(lambda t: sort_bucket(t, width), FOUND), "suffixes")
     return spans(same, width)
 
