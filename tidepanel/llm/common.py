@@ -7,6 +7,8 @@ becomes of those rows.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import threading
 import uuid
@@ -75,14 +77,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
                 spark.conf.unset(_CLEAN) if _before is None else spark.conf.set(_CLEAN, _before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
+_made: contextvars.ContextVar[list | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """The results of ``cut`` made inside, which are deleted at the end if they are still listed."""
+    token = _made.set(made := [])
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        for df in made:
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a result of ``cut`` that nothing will read any more."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # one that is gone already does no harm
 
 
 def fresh(df: DataFrame, name: str) -> str:
