@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -192,7 +193,8 @@ def test_both_methods_find_the_same_spans(spark):
     assert sorted(anchors.spans_of(docs(spark, rows)).collect()) == sorted(suffixes.spans_of(docs(spark, rows)).collect())
 
 
-def test_suffix_array_is_sorted():
+@pytest.mark.parametrize("size", [suffixes.SUFFIXES, 100])
+def test_suffix_array_is_sorted(size):
     rng = np.random.default_rng(5)
     for trial in range(20):
         sizes = rng.integers(60, 160, 12)
@@ -202,12 +204,14 @@ def test_suffix_array_is_sorted():
         first = np.cumsum(sizes) - sizes
         end = np.repeat(first + sizes, sizes)
         at = np.concatenate([np.arange(f, f + n - 50) for f, n in zip(first, sizes)])
-        order, rank = suffixes.suffix_array(text, end, at)
+        parts = list(suffixes.suffix_array(text, end, at, 50, size))
+        assert size > 100 or len(parts) > 1
+        order = np.concatenate([o for o, _ in parts])
+        same = np.concatenate([s for _, s in parts])
         key = lambda p: tuple(text[p : end[p]])
         assert sorted(order) == sorted(at)
         assert all(key(a) <= key(b) for a, b in zip(order, order[1:]))
-        same = suffixes.shared_prefix(order[1:], order[:-1], rank, 50)
-        assert same.tolist() == [key(a)[:50] == key(b)[:50] for a, b in zip(order, order[1:])]
+        assert same.tolist() == [False, *(key(a)[:50] == key(b)[:50] for a, b in zip(order, order[1:]))]
 
 
 # == simhash
@@ -288,7 +292,8 @@ def apart(bits, n=3000):
     for row in other:
         at = rng.choice(simhash.BITS, bits, replace=False)
         np.bitwise_xor.at(row, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
-    return (simhash.index_keys(lanes) == simhash.index_keys(other)).any(axis=1).mean()
+    close = np.bitwise_count(simhash.index_sketches(lanes) ^ simhash.index_sketches(other)) <= simhash.SKETCH_BITS
+    return ((simhash.index_keys(lanes) == simhash.index_keys(other)) & close).any(axis=1).mean()
 
 
 def test_filter_by_distance():
@@ -309,6 +314,34 @@ def test_linked_spans_the_whole_list():
     assert groups(simhash.linked(lanes, simhash.MAX_BITS), range(300)) == groups(near(lanes), range(300))
 
 
+def test_candidates_connect_what_is_near():
+    rng = np.random.default_rng(48)
+    key = np.sort(rng.integers(0, 60, 200))
+    sketch = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
+    sketch[1::3] = sketch[::3][: len(sketch[1::3])] ^ np.uint64(7)
+    want = [(a, b) for a in range(200) for b in range(a) if key[a] == key[b] and int(sketch[a] ^ sketch[b]).bit_count() <= simhash.SKETCH_BITS]
+    assert groups(simhash.met(key, sketch).tolist(), range(200)) == groups(want, range(200)) and len(want) > 20
+    assert len(simhash.met(key[:0], sketch[:0])) == 0
+
+
+def test_groups_of_many_edited_copies(spark):
+    rng = random.Random(51)
+    rows, d = [], 0
+    for _ in range(4):
+        w = prose(rng, 150).split()
+        for _ in range(60):
+            c = list(w)
+            for _ in range(rng.randint(0, 9)):
+                c[rng.randrange(len(c))] = f"other{rng.randrange(10**6)}"
+            rows.append((d, " ".join(c)))
+            d += 1
+    rng.shuffle(rows)
+    sig = dict(zip((d for d, _ in rows), signatures_of([t for _, t in rows])))
+    pairs = [(a, b) for a in sig for b in sig if b < a and distances(sig[a], sig[b]) <= simhash.MAX_BITS]
+    assert {r.doc_id: r.duplicate_of for r in simhash.duplicates(docs(spark, rows)).collect()} == groups(pairs, sig)
+    assert max(distances(sig[a], sig[b]) for a in range(60) for b in range(a)) > simhash.MAX_BITS
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)]
     out = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -344,9 +377,12 @@ def test_quality_gross_mild_and_hosts(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = sorted((r.doc_id for r in quality.kept(docs(spark, rows), labels).collect()), key=lambda x: (x is None, x))
     assert got == [*range(21), 121, 204, 204, None]
-    full = quality.clean(docs(spark, rows), labels)
-    assert full.columns == docs(spark, rows).columns and full.count() == len(got)
-    assert quality.kept(docs(spark, []), labels).count() == 0
+    for limit in (quality.BROADCAST_HOSTS, 0):  # either way of joining the hosts
+        full = quality.clean(docs(spark, rows), labels, broadcast_hosts=limit)
+        assert full.columns == docs(spark, rows).columns and sorted((r.doc_id for r in full.collect()), key=lambda x: (x is None, x)) == got
+        assert all(r.text for r in full.collect())
+        assert sorted((r.doc_id for r in quality.kept(docs(spark, rows), labels, broadcast_hosts=limit).collect()), key=lambda x: (x is None, x)) == got
+    assert quality.kept(docs(spark, []), labels).count() == 0 and quality.clean(docs(spark, []), labels).count() == 0
 
 
 def test_quality_learns_abusive_words(spark):
@@ -354,27 +390,81 @@ def test_quality_learns_abusive_words(spark):
     rows = [(i, prose(rng, 50) + (" scumword slurword" if i < 30 else " slurword" if i == 99 else "")) for i in range(100)]
     labels = spark.createDataFrame([(i, 1, int(i < 20)) for i in range(80)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     few = labels.withColumn("toxic", F.when(F.col("doc_id") < 30, 1).otherwise(F.col("toxic")))
+    few = few.withColumns({"text": F.lit("other"), "source": F.lit("x"), "word": F.lit(1)})  # names that the operator uses
     assert quality.vocabulary(docs(spark, rows), few) == ["scumword", "slurword"]
     assert {r.doc_id for r in quality.kept(docs(spark, rows), few).collect()} == set(range(30, 100))
 
 
+def test_quality_measures_long_texts_whole(spark):
+    text = " ".join(f"word{k}" for k in range(60_000))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.doc_id for r in quality.kept(docs(spark, [(1, text), (2, text + " #" * len(text)), (3, text)]), labels).collect()}
+    assert got == {1, 3}
+
+
 # == WARC
-def test_warc_round_trip(spark, tmp_path):
-    pages = [(3, "http://a", "<p>é one</p>"), (1, "http://b", "<p>é one</p>"), (2, None, "two\r\n\r\nlines"), (4, "http://d", ""), (5, "http://e", None), (None, "x", "y"), (3, "http://a", "<p>é one</p>")]
+@pytest.mark.parametrize("limit", [warc.BROADCAST_CAPTURES, 0])
+def test_warc_round_trip(spark, tmp_path, limit):
+    long = "é" * 300_000
+    pages = [(3, "http://a", "<p>é one</p>"), (1, "http://b", "<p>é one</p>"), (2, None, "two\r\n\r\nlines"), (4, "http://d", ""), (5, "http://e", None), (None, "x", "y"), (3, "http://a", "<p>é one</p>"), (6, "u", long), (6, "u", long)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, uri string")
-    index = {r.capture_id: r for r in warc.deduplicate(warc.captures(df), str(tmp_path / "warc")).collect()}
-    assert {k: (r.record_type, r.refers_to) for k, r in index.items()} == {1: ("response", None), 2: ("response", None), 3: ("revisit", 1), 4: ("response", None)}
+    index = {r.capture_id: r for r in warc.deduplicate(warc.captures(df), str(tmp_path / "warc"), limit).collect()}
+    assert {k: (r.record_type, r.refers_to) for k, r in index.items()} == {1: ("response", None), 2: ("response", None), 3: ("revisit", 1), 4: ("response", None), 6: ("response", None)}
     read = {r.record_id: r for r in warc.read_archive(spark, str(tmp_path / "warc")).collect()}
-    assert len(read) == 4
+    assert len(read) == 5 and not (tmp_path / "warc" / "_temporary").exists()
     ids = {k: r.header.split("WARC-Record-ID: ")[1].split("\r\n")[0] for k, r in index.items()}
-    assert read[ids[1]].block.endswith("\r\n\r\n<p>é one</p>".encode())
-    assert read[ids[2]].block.endswith(b"two\r\n\r\nlines") and read[ids[3]].refers_to == ids[1] and read[ids[3]].block.endswith(b"\r\n\r\n")
-
-
-def test_warc_keeps_each_payload_of_an_id(spark, tmp_path):
+    block = {k: bytes(read[v].block) for k, v in ids.items()}
+    assert block[1].endswith("\r\n\r\n<p>é one</p>".encode()) and block[6].endswith(b"\r\n\r\n" + long.encode())
+    assert block[2].endswith(b"two\r\n\r\nlines") and read[ids[3]].refers_to == ids[1] and block[3].endswith(b"\r\n\r\n")
+    assert all(len(block[k]) == r.content_length for k, r in index.items())
+
+
+def test_warc_has_a_gzip_member_for_each_record(spark, tmp_path):
+    rows = [(k, "response", f"2024-01-0{k}T00:00:00Z", "u", f"d{k % 3}", bytes([k % 3, 0, 255, 13, 10, 13, 10])) for k in range(1, 8)]
+    df = spark.createDataFrame(rows, "capture_id long, kind string, date string, uri string, digest string, payload binary").coalesce(2)
+    index = warc.deduplicate(df, str(tmp_path / "w")).collect()
+    assert sorted((r.capture_id, r.refers_to) for r in index) == [(1, None), (2, None), (3, None), (4, 1), (5, 2), (6, 3), (7, 1)]
+    records = 0
+    for f in (tmp_path / "w").iterdir():
+        data, kinds = f.read_bytes(), []
+        while data:
+            z = zlib.decompressobj(31)
+            record = z.decompress(data) + z.flush()
+            data = z.unused_data
+            ((head, block),) = warc.parse([record])
+            assert len(block) == int(head["Content-Length"]) and record.endswith(b"\r\n\r\n")
+            kinds.append(head["WARC-Type"])
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+        records += len(kinds) - 1
+    assert records == 7
+    blocks = {r.digest: bytes(r.block).split(b"\r\n\r\n", 1)[1] for r in warc.read_archive(spark, str(tmp_path / "w")).collect() if r.record_type == "response"}
+    assert blocks == {f"d{k}": bytes([k, 0, 255, 13, 10, 13, 10]) for k in range(3)}
+
+
+def test_warc_parses_any_cut_of_the_stream():
+    records = [warc.info("a"), warc.info("b" * 300)]
+    whole, packed = b"".join(r + b"\r\n\r\n" for r in records), b"".join(map(warc.member, records))
+    want = list(warc.parse([whole]))
+    for size in (1, 7, 64, 10_000):
+        for data in (whole, packed):
+            chunks = [data[k : k + size] for k in range(0, len(data), size)]
+            if size > 1 or data is whole:
+                assert list(warc.parse(warc.inflated(chunks))) == want
+    with pytest.raises(ValueError):
+        list(warc.parse([whole[:-9]]))
+
+
+def test_warc_empty_table(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.deduplicate(warc.captures(none), str(tmp_path / "none")).count() == 0
+    assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [warc.BROADCAST_CAPTURES, 0])
+def test_warc_keeps_each_payload_of_an_id(spark, tmp_path, limit):
     pages = [(1, "http://a", "<p>one</p>"), (1, "http://a", "<p>another, longer</p>"), (2, "http://b", "<p>another, longer</p>"), (3, "http://c", "three")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    index = warc.deduplicate(warc.captures(df), str(tmp_path / "warc")).collect()
+    index = warc.deduplicate(warc.captures(df), str(tmp_path / "warc"), limit).collect()
     assert sorted((r.capture_id, r.record_type, r.refers_to or 0) for r in index) == [(1, "response", 0), (1, "response", 0), (2, "revisit", 1), (3, "response", 0)]
     read = {r.record_id: r for r in warc.read_archive(spark, str(tmp_path / "warc")).collect()}
     assert len(read) == 4
@@ -385,41 +475,50 @@ def test_warc_keeps_each_payload_of_an_id(spark, tmp_path):
 
 
 def test_warc_logged_revisits(spark):
-    rows = [(1, "revisit", "u1", "d1"), (2, "response", "u2", "d1"), (3, "response", "u3", "d1"), (4, "revisit", "u4", "d9"), (5, "revisit", "u5", None)]
-    got = {r.capture_id: (r.record_type, r.refers_to) for r in warc.resolve(spark.createDataFrame(rows, "capture_id long, kind string, uri string, digest string")).collect()}
-    assert got == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 2), 4: ("revisit", None)}
-    assert warc.resolve(spark.createDataFrame([], "capture_id long, kind string, uri string, digest string")).count() == 0
+    rows = [(1, "revisit", "a", "u1", "d1"), (2, "response", "c", "u2", "d1"), (3, "response", "b", "u3", "d1"), (4, "revisit", "a", "u4", "d9"), (5, "revisit", "a", "u5", None), (3, "response", "b", "u3", "d1")]
+    columns = "capture_id long, kind string, date string, uri string, digest string"
+    got = {r.capture_id: (r.record_type, r.refers_to, r.refers_to_date) for r in warc.resolve(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {1: ("revisit", 3, "b"), 2: ("revisit", 3, "b"), 3: ("response", None, None), 4: ("revisit", None, None)}
+    assert warc.resolve(spark.createDataFrame([], columns)).count() == 0
 
 
 # == lines
 def brute_lines(rows, min_docs):
-    """Drop list by one pass in plain Python over all leaves."""
+    """``drop_recurring`` in plain Python, without any of its functions."""
+    digit = lambda w: any(c.isdigit() for c in w)
     leaves = {}
     for d, t in rows:
         if d is None or t is None:
             continue
         for k, line in enumerate(t.split("\n")):
             if line.strip():
-                e = leaves.setdefault(lines.leaf(line), {}).setdefault(line, [set(), (d, k)])
-                e[0].add(d)
-                e[1] = min(e[1], (d, k))
-    keep, drop = {}, set()
+                masked = tuple("*" if digit(w) else w for w in line.split())
+                found = leaves.setdefault((len(masked), masked[:3]), {}).setdefault(line, (masked, []))
+                found[1].append((d, k))
+    gone = {}
     for leaf in leaves.values():
-        texts = list(leaf)
-        for members, template in lines.templates(texts, [len(leaf[x][0]) for x in texts]):
-            if lines.says_something(template) and sum(len(leaf[texts[i]][0]) for i in members) >= min_docs:
-                first = min(leaf[texts[i]][1] for i in members)
-                for i in members:
-                    drop.add(texts[i])
-                    keep[texts[i]] = first
+        clusters = []  # [template, lines]
+        n_docs = {x: len({d for d, _ in at}) for x, (_, at) in leaf.items()}
+        for line in sorted(leaf, key=lambda x: (-n_docs[x], x)):
+            masked = leaf[line][0]
+            agree = [sum(a == b for a, b in zip(c[0], masked)) for c in clusters]
+            best = max(range(len(clusters)), key=lambda i: (agree[i], -i), default=None)
+            if best is not None and agree[best] >= 0.7 * len(masked):
+                clusters[best][0] = tuple(a if a == b else None for a, b in zip(clusters[best][0], masked))
+                clusters[best][1].append(line)
+            else:
+                clusters.append([masked, [line]])
+        for template, members in clusters:
+            variable = sum(x in (None, "*") for x in template)
+            for own in [members] if 2 * variable <= len(template) else [[x] for x in members]:
+                places = [p for x in own for p in leaf[x][1]]
+                if len({d for d, _ in places}) >= min_docs:
+                    gone |= {x: min(places) for x in own}
     out = {}
     for d, t in rows:
-        if t is None or d is None:
-            out[d] = t
-            continue
-        left = [x for k, x in enumerate(t.split("\n")) if x not in drop or keep[x] == (d, k)]
-        if len(left) == len(t.split("\n")) or any(x.strip() for x in left):
-            out[d] = "\n".join(left)
+        left = t if d is None or t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if gone.get(x, (d, k)) == (d, k))
+        if left == t or left.strip():
+            out[d] = left
     return out
 
 
@@ -440,6 +539,44 @@ def test_lines_equal_brute_force(spark):
     assert "Posted by user1" in got[1] and not any("Posted by" in got.get(d, "") for d in range(3, 80, 2))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_that_vary_equal_brute_force(spark, seed):
+    rng = random.Random(100 + seed)
+    shapes = ["user {} wrote on {} at the old forum about {}", "{} {} {} of {}", "see {} and {} for more of it all", "a line that never changes", "{}: {}"]
+    fill = lambda: rng.choice([str(rng.randrange(30)), rng.choice("red blue green".split()), "x9"])
+    rows = []
+    for d in range(60):
+        t = [rng.choice(shapes) for _ in range(rng.randint(1, 5))]
+        rows.append((d, "\n".join(" ".join(fill() if w == "{}" else w for w in x.split()) for x in t)))
+    got = {r.doc_id: r.text for r in lines.drop_recurring(docs(spark, rows)).collect()}
+    want = brute_lines(rows, lines.MIN_DOCS)
+    assert got == want and want != dict(rows)
+
+
+def test_templates_equal_a_scan_of_all():
+    rng = random.Random(110)
+    texts = sorted({" ".join(rng.choice("abcdefg") for _ in range(9)) for _ in range(600)})
+    counts = [rng.randint(1, 5) for _ in texts]
+    clusters = []
+    for i in sorted(range(len(texts)), key=lambda k: (-counts[k], texts[k])):
+        w = texts[i].split()
+        agree = [sum(a == b for a, b in zip(t, w)) for t, _ in clusters]
+        if agree and max(agree) >= 0.7 * 9:
+            t, m = clusters[agree.index(max(agree))]
+            t[:] = [a if a == b else "<*>" for a, b in zip(t, w)]
+            m.append(i)
+        else:
+            clusters.append((w, [i]))
+    assert lines.templates(texts, counts) == [(m, t) for t, m in clusters] and any(len(m) > 1 for _, m in clusters)
+
+
+def test_lines_of_a_long_document(spark):
+    text = "\n".join(f"entry {k % 7} of the list" if k % 2 else f"only {'x' * (k % 50)}{k} here once {k}" for k in range(20_000))
+    rows = [(d, text if d == 0 else "\n".join(f"entry {k} of the list" for k in range(3))) for d in range(5)]
+    (got,) = lines.drop_recurring(docs(spark, rows)).where("doc_id = 0").collect()
+    assert got.text.count("entry") == 1 and got.n_dropped > 9_000
+
+
 def test_lines_count_documents(spark):
     steps = "\n".join(f"Step {k} of the guide" for k in range(9))
     rows = [(1, steps), *[(2, "All of this text")] * 6, *((10 + i, f"Page {i} of the book\nPage {i + 50} of the book") for i in range(5)), *((20 + i, f"Note {i} in the margin\nNote {i + 50} in the margin") for i in range(4))]
@@ -491,10 +628,11 @@ def test_plan_equals_best_fit_decreasing(seed):
     assert sum(map(len, used.values())) == len(lengths)
 
 
-def test_packing_places_every_token(spark):
+@pytest.mark.parametrize("cell_rows", [packing.CELL_ROWS, 7])
+def test_packing_places_every_token(spark, cell_rows):
     rng = random.Random(12)
     rows = [(i, rng.choice([0, 1, 5, 64, 65, 200, rng.randint(1, 300)])) for i in range(400)] + [(7, 30), (7, 30), (None, 5)]
-    out = packing.best_fit(spark.createDataFrame(rows, "doc_id long, n_tokens long"), 64).collect()
+    out = packing.best_fit(spark.createDataFrame(rows, "doc_id long, n_tokens long"), 64, cell_rows).collect()
     lengths = [n for i, n in rows if i is not None]
     assert sum(r.n_tokens for r in out) == sum(lengths)
     bins = {}
@@ -506,6 +644,25 @@ def test_packing_places_every_token(spark):
         assert all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(spans[-1]) <= 64
 
 
+def test_sequences_hold_the_texts(spark):
+    rng = random.Random(49)
+    texts = [(i, prose(rng, rng.randint(1, 90))) for i in range(40)] + [(3, "another text of that id"), (5, None), (None, "no id"), (6, "")]
+    counts = packing.PieceCounts(packing.TOKENIZER)
+    out = packing.sequences(docs(spark, texts), 64).collect()
+    found = {}
+    for r in out:
+        assert len(r.tokens) == r.n_tokens <= 64 and r.starts[0] == 0
+        for d, p, a, b in zip(r.doc_ids, r.pieces, r.starts, [*r.starts[1:], r.n_tokens]):
+            found.setdefault(d, {}).setdefault(p, []).append(r.tokens[a:b])
+    assert sorted(r.bin_id for r in out) == list(range(len(out)))
+    for d, t in texts:
+        if t and d is not None:
+            want = counts.encoding.encode_ordinary(t)
+            assert all(want[k : k + 64] in found[d][k // 64] for k in range(0, len(want), 64))
+    assert sum(r.n_tokens for r in out) == sum(len(counts.encoding.encode_ordinary(t)) for d, t in texts if t and d is not None)
+    assert packing.sequences(docs(spark, [])).count() == 0
+
+
 def test_token_counts_equal_the_encoder(spark):
     texts = ["Plain words, here's 12 numbers!\n\n  two   spaces ", "été über 中文 🙂\t\r\n", "", None, "a" * 3000]
     counts = packing.PieceCounts(packing.TOKENIZER)
