@@ -107,6 +107,12 @@ def integer_or_violation(x: Column | str, tolerance: float = 1e-6) -> tuple[Colu
     return F.rint(c(x)).cast("bigint"), F.abs(c(x) - F.rint(c(x))) > tolerance
 
 
+def integer_or_fail(x: Column | str, name: str, tolerance: float = 1e-6) -> Column:
+    """bigint value; a fraction beyond the tolerance fails the query that meets it."""
+    value, bad = integer_or_violation(x, tolerance)
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"{name}: not a whole number: "), c(x).cast("string"))).cast("bigint")).otherwise(value)
+
+
 def weighted_available_score(parts: list[tuple[Column, float]]) -> Column:
     """Weighted mean over the parts that are not NULL; NULL if none is."""
     total = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) * w for x, w in parts])
@@ -148,5 +154,5 @@ def lookup(x: Column | str, mapping: dict[str, str]) -> Column:
 
 
 def snapshot_time(file_name: Column | str) -> Column:
-    """Timestamp of names such as 20260101T101500Z_label.csv."""
+    """Timestamp of names such as 20260101T101500Z_label.csv; NULL without one."""
     return F.try_to_timestamp(F.regexp_extract(c(file_name), r"([0-9]{8}T[0-9]{6}Z)_", 1), F.lit("yyyyMMdd'T'HHmmss'Z'"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def territory_dimension(territories: DataFrame, long: DataFrame, months: int, ge
     )
 
 
+def complete_before(file_names: DataFrame, column: str) -> date | None:
+    """First day of the month in which the newest snapshot was taken: that month is not complete yet."""
+    return file_names.agg(F.trunc(F.max(X.snapshot_time(column)), "MM")).first()[0]
+
+
 def calendar_dimension(dates: DataFrame, first: Column, last: Column, shock: tuple[str, str], complete_before: str, generated_at: str) -> DataFrame:
     """A row for each month from first to last, aggregates over ``dates``."""
     m = F.col("month")

@@ -61,7 +61,7 @@ def metrics_with_overall(df: DataFrame, split: str = "evaluation_split") -> Data
 def in_order(spark: SparkSession, df: DataFrame, splits: list[str], column: str = "split") -> DataFrame:
     """Rows for the listed splits in that order; a split without rows is a row of NULLs."""
     listed = spark.createDataFrame([(i, s) for i, s in enumerate(splits)], f"position int, {column} string")
-    return F.broadcast(listed).join(df, column, "left")
+    return listed.join(F.broadcast(df), column, "left")  # ``df`` has a row a split
 
 
 def coverage(model: DataFrame, splits: list[str]) -> DataFrame:
@@ -129,6 +129,17 @@ def promotion(predictions: DataFrame, validation: list[str], test: str, minimum_
     ).withColumn("promoted", F.col("validation_pass") & F.col("test_pass") & F.col("majority_pass"))
 
 
+def split_metrics(predictions: DataFrame, validation: list[str]) -> DataFrame:
+    """(model, evaluation_split, rows, metrics) of every model and the baseline, and over the validation splits pooled."""
+    side = lambda name, column: F.struct(name.alias("model"), F.col(column).alias("prediction"))
+    keys = ["territory_id", "target_month_id", "evaluation_split"]
+    models = predictions.select(*keys, "actual", side(F.col("model"), "model_prediction").alias("s"))
+    once = predictions.groupBy(*keys).agg(F.first("actual").alias("actual"), F.first("baseline_prediction").alias("baseline_prediction"))
+    both = models.unionByName(once.select(*keys, "actual", side(F.lit("baseline"), "baseline_prediction").alias("s"))).select("evaluation_split", "actual", "s.*")
+    pooled_rows = F.array(F.col("evaluation_split"), F.when(F.col("evaluation_split").isin(*validation), "validation_pooled"))
+    return metrics(both.withColumn("evaluation_split", F.explode(F.array_compact(pooled_rows))), ["model", "evaluation_split"])
+
+
 def select_model(pooled_mae: dict[str, float], baseline: str = "baseline") -> str:
     """Best candidate by pooled MAE if it improves on the baseline at all, else the baseline."""
     candidates = {k: v for k, v in pooled_mae.items() if k != baseline and v is not None}

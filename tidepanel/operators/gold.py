@@ -37,7 +37,7 @@ COLUMNS = (
 def demand_wide(long: DataFrame) -> DataFrame:
     """Conditional aggregation instead of a pivot, so that all four columns always exist."""
     pick = [
-        F.first(F.when((F.col("metric") == m) & (F.col("residence") == r), X.integer_or_violation("value")[0]), ignorenulls=True).alias(f"{m}_{r}")
+        F.first(F.when((F.col("metric") == m) & (F.col("residence") == r), X.integer_or_fail("value", f"{m}_{r}")), ignorenulls=True).alias(f"{m}_{r}")
         for m, r in DEMAND
     ]
     wide = long.groupBy(*KEY).agg(*pick, F.bool_or("is_provisional").alias("is_provisional"))
@@ -81,7 +81,11 @@ def seasonal_profile(df: DataFrame) -> DataFrame:
 
 
 def with_seasonality(df: DataFrame) -> DataFrame:
-    return df.join(seasonal_profile(df), ["territory_id", "month"], "left")
+    """``seasonal_profile`` on every row of its month of the year, as windows over the table itself."""
+    usable = ~F.coalesce("covid_period", F.lit(False)) & ~F.coalesce("is_provisional", F.lit(False))
+    mean = F.avg(F.when(usable, F.col("overnight_stays_total"))).over(W.partitionBy("territory_id", "month"))
+    peak = F.max("_mean").over(W.partitionBy("territory_id"))
+    return df.withColumn("_mean", mean).withColumn("seasonality_index", X.safe_divide("_mean", peak) * 100).drop("_mean")
 
 
 def with_pressure(df: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0.2, 0.1)) -> DataFrame:

@@ -1,16 +1,19 @@
-"""Regression candidates with ``pyspark.ml`` over expanding folds."""
+"""Regression candidates over expanding folds: Ridge with ``pyspark.ml``, boosted trees a fold a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.config import Fold
 from tidepanel.functions import expr as X
 from tidepanel.operators import evaluate
+from tidepanel.operators.boosting import Boosting
+from tidepanel.sources.report import slug
 
 KEYS = "evaluation_split target_date_month target_month_id territory_id territory_name".split()
 
@@ -47,7 +50,8 @@ class Ridge:
             out = out.withColumn(f"{x}_m", (F.col(x).isNull().cast("double") - self.mean[f"{x}?"]) / self.scale[f"{x}?"])
         return out
 
-    def fit(self, train: DataFrame, label: str = "actual") -> Ridge:
+    def prepare(self, train: DataFrame, label: str = "actual") -> Ridge:
+        """Medians, means and scales of ``train``, and its feature vectors: the same for every alpha."""
         med = train.agg(*(F.percentile(x, 0.5).alias(x) for x in self.numeric), *(F.count_if(F.col(x).isNull()).alias(f"{x}?") for x in self.numeric)).first()
         self.median = {x: med[x] if med[x] is not None else 0.0 for x in self.numeric}
         self.indicated = [x for x in self.numeric if med[f"{x}?"]]
@@ -58,56 +62,90 @@ class Ridge:
         ).first()
         self.mean = {n: stats[f"m{i}"] for i, (n, _) in enumerate(filled)}
         self.scale = {n: stats[f"s{i}"] or 1.0 for i, (n, _) in enumerate(filled)}
+        self.per_alpha, self.label = (stats["sy"] or 1.0) / stats["n"], label
         inputs = [f"{x}_f" for x in self.numeric] + [f"{x}_m" for x in self.indicated] + [f"{x}_v" for x in self.categorical]
-        linear = LinearRegression(
-            labelCol=label, featuresCol="features", predictionCol="model_prediction_raw", solver="normal", elasticNetParam=0.0, standardization=False,
-            regParam=self.alpha * (stats["sy"] or 1.0) / stats["n"],
-        )
-        stages = (encoder(self.categorical) if self.categorical else []) + [VectorAssembler(inputCols=inputs, outputCol="features"), linear]
-        self.model = Pipeline(stages=stages).fit(self._design(train))
+        stages = (encoder(self.categorical) if self.categorical else []) + [VectorAssembler(inputCols=inputs, outputCol="features")]
+        self.design = Pipeline(stages=stages).fit(self._design(train))
+        self.vectors = self.features(train).select("features", label)
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self._design(df))
+    def features(self, df: DataFrame) -> DataFrame:
+        return self.design.transform(self._design(df))
 
+    def solve(self, alpha: float):
+        """The linear model at ``alpha`` over the prepared vectors."""
+        return LinearRegression(
+            labelCol=self.label, featuresCol="features", predictionCol="model_prediction_raw", solver="normal", elasticNetParam=0.0, standardization=False,
+            regParam=alpha * self.per_alpha,
+        ).fit(self.vectors)
 
-class BoostedTrees:
-    """Gradient-boosted trees: depth-wise, so an approximation of leaf-wise boosting.
+    def fit(self, train: DataFrame, label: str = "actual") -> Ridge:
+        self.model = self.prepare(train, label).solve(self.alpha)
+        return self
 
-    NULLs become a value below all others, next to which a tree can split.
-    """
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.features(df))
 
-    def __init__(self, numeric: list[str], categorical: list[str], iterations: int = 300, step: float = 0.05, depth: int = 5, min_leaf: int = 20, seed: int = 42):
-        self.numeric, self.categorical = list(numeric), list(categorical)
-        self.trees = GBTRegressor(
-            featuresCol="features", predictionCol="model_prediction_raw", maxIter=iterations, stepSize=step, maxDepth=depth,
-            minInstancesPerNode=min_leaf, maxBins=255, seed=seed,
-        )
 
-    def _design(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f"{x}_f": F.coalesce(F.col(x), F.lit(-1e12)) for x in self.numeric})
+def _named(predicted: DataFrame, name: str) -> DataFrame:
+    """Clipped at zero; the raw prediction is kept."""
+    return predicted.select(
+        *KEYS, F.lit(name).alias("model"), "actual", F.col("lag_12_overnight_stays").alias("baseline_prediction"),
+        "model_prediction_raw", X.clip("model_prediction_raw", low=0).alias("model_prediction"),
+    )
 
-    def fit(self, train: DataFrame, label: str = "actual") -> BoostedTrees:
-        inputs = [f"{x}_f" for x in self.numeric] + [f"{x}_v" for x in self.categorical]
-        stages = (encoder(self.categorical) if self.categorical else []) + [VectorAssembler(inputCols=inputs, outputCol="features"), self.trees.setLabelCol(label)]
-        self.model = Pipeline(stages=stages).fit(self._design(train))
-        return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self._design(df))
+def _rows(model: DataFrame, numeric: list[str], categorical: list[str], boolean: list[str]) -> DataFrame:
+    return prepared(model.where(evaluate.evaluable()), numeric, categorical, boolean).withColumn("actual", F.col("target_overnight_stays_total"))
 
 
-def fold_predictions(model: DataFrame, folds: list[Fold], name: str, make, numeric: list[str], categorical: list[str], boolean: list[str] = []) -> DataFrame:
-    """Fit on each fold's past, predict the fold, clip at zero; the raw prediction is kept."""
-    df = prepared(model, numeric, categorical, boolean).withColumn("actual", F.col("target_overnight_stays_total")).cache()
-    out = None
+def ridge_predictions(model: DataFrame, folds: list[Fold], alphas: list[float], numeric: list[str], categorical: list[str], boolean: list[str] = []) -> DataFrame:
+    """Every alpha on every fold, fitted on the fold's past. ``model`` should be a stored table."""
+    df, out = _rows(model, numeric, categorical, boolean), None
     for fold in folds:
-        train = evaluate.train_rows(df, fold)
-        if train.isEmpty():
-            raise ValueError(f"{fold.name}: no training rows")
-        predicted = make().fit(train).transform(evaluate.fold_rows(df, fold)).select(
-            *KEYS, F.lit(name).alias("model"), "actual", F.col("lag_12_overnight_stays").alias("baseline_prediction"),
-            "model_prediction_raw", X.clip("model_prediction_raw", low=0).alias("model_prediction"),
-        )
-        out = predicted if out is None else out.unionByName(predicted)
+        train = evaluate.train_rows(df, fold).persist()
+        try:
+            if train.isEmpty():
+                raise ValueError(f"{fold.name}: no training rows")
+            ridge = Ridge(numeric, categorical, alphas[0]).prepare(train)
+            fitted = [(alpha, ridge.solve(alpha)) for alpha in alphas]
+        finally:
+            train.unpersist()
+        vectors = ridge.features(evaluate.fold_rows(df, fold))
+        for alpha, linear in fitted:
+            part = _named(linear.transform(vectors), slug("ridge", alpha))
+            out = part if out is None else out.unionByName(part)
     return out
+
+
+def boosted_predictions(
+    model: DataFrame, folds: list[Fold], numeric: list[str], categorical: list[str], boolean: list[str] = [], name: str = "boosted_trees", **settings
+) -> DataFrame:
+    """Boosted trees on every fold, a task each, fitted on the fold's past.
+
+    Categories are one-hot by those that the training rows have: an unseen one is all zeros.
+    """
+    df = _rows(model, numeric, categorical, boolean)
+    roles = [F.when(F.col("target_date_month") <= F.lit(f.train_end), F.struct(F.lit(f.name).alias("fold"), F.lit(True).alias("train"))) for f in folds]
+    roles += [F.when(F.col("evaluation_split") == f.name, F.struct(F.lit(f.name).alias("fold"), F.lit(False).alias("train"))) for f in folds]
+    used = df.withColumn("role", F.explode(F.array_compact(F.array(*roles))))
+    columns = list(dict.fromkeys([*KEYS, *numeric, *categorical, "actual", "lag_12_overnight_stays"]))
+
+    def fit(rows):
+        rows = rows.sort_values(["territory_id", "target_date_month"])
+        train, rest = rows[rows["train"]], rows[~rows["train"]]
+        if not len(rest):
+            return rest[KEYS + ["actual", "lag_12_overnight_stays"]].assign(model_prediction_raw=0.0)
+        if not len(train):
+            raise ValueError(f"{rest['fold'].iloc[0]}: no training rows")
+
+        def matrix(part):
+            hot = [(part[c] == v).to_numpy(float) for c in categorical for v in sorted(train[c].unique())]
+            return np.column_stack([*(part[x].to_numpy(float) for x in numeric), *hot])
+
+        raw = Boosting(**settings).fit(matrix(train), train["actual"].to_numpy(float)).predict(matrix(rest))
+        return rest[KEYS + ["actual", "lag_12_overnight_stays"]].assign(model_prediction_raw=raw)
+
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in [*KEYS, "actual", "lag_12_overnight_stays"]) + ", model_prediction_raw double"
+    return _named(used.select(*columns, "role.*").groupBy("fold").applyInPandas(fit, schema), name)

@@ -28,6 +28,14 @@ def require_unique(df: DataFrame, keys: list[str], name: str = "input") -> DataF
     return df
 
 
+def require_single(df: DataFrame, column: str, name: str = "input") -> str:
+    """The one value of ``column``; raises where there is none or more than one."""
+    n, value = single_value(df, column).first()
+    if n != 1:
+        raise ValueError(f"{name}: {n} distinct values of {column}, not one")
+    return value
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
@@ -38,7 +46,10 @@ def month_series(first: Column, last: Column) -> Column:
 
 
 def base_grid(territories: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Every territory by every month. The calendar's size is fixed by its date range."""
+    """Every territory by every month. The calendar's size is fixed by its date range.
+
+    Both keys must be unique (``gates.grid_keys`` checks stored dimensions).
+    """
     return territories.crossJoin(F.broadcast(calendar))
 
 

@@ -66,16 +66,37 @@ def unique_key(df: DataFrame, keys: list[str], name: str = "unique_key") -> Data
     return n.select(F.lit(name).alias("check"), F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status"), F.lit("fail").alias("severity"), F.col("violations").cast("bigint").alias("violations"))
 
 
-def schema_contract(df: DataFrame, expected: T.StructType, spark: SparkSession) -> DataFrame:
-    """Column count, names, order and types, from the plan's schema alone."""
-    have, want = df.schema, expected
+@dataclass(frozen=True)
+class Field:
+    """What a column of a contract must be; NULLs are no value to test, unless not nullable."""
+
+    name: str
+    type: T.DataType
+    nullable: bool = True
+    allowed: tuple = ()
+    low: float | None = None
+    high: float | None = None
+
+
+def field_checks(fields: list[Field]) -> list[Check]:
+    out = not_null(*(f.name for f in fields if not f.nullable))
+    out += [allowed(f.name, list(f.allowed)) for f in fields if f.allowed]
+    out += [rows_where(f"minimum:{f.name}", F.col(f.name) < f.low) for f in fields if f.low is not None]
+    return out + [rows_where(f"maximum:{f.name}", F.col(f.name) > f.high) for f in fields if f.high is not None]
+
+
+def schema_contract(df: DataFrame, fields: list[Field]) -> DataFrame:
+    """Column count, names, order and types from the schema; then values, unless names differ."""
+    have, want = df.schema, T.StructType([T.StructField(f.name, f.type) for f in fields])
     found = [
         ("column_count", abs(len(have) - len(want))),
         ("column_names", len(set(have.names) ^ set(want.names))),
         ("column_order", sum(a != b for a, b in zip(have.names, want.names))),
         ("column_types", sum(have[n].dataType != want[n].dataType for n in want.names if n in have.names)),
     ]
-    return spark.createDataFrame([(n, "PASS" if v == 0 else "FAIL", "fail", v) for n, v in found], "check string, status string, severity string, violations bigint")
+    rows = [(n, "PASS" if v == 0 else "FAIL", "fail", v) for n, v in found]
+    structure = df.sparkSession.createDataFrame(rows, "check string, status string, severity string, violations bigint")
+    return structure if found[1][1] else structure.unionByName(run(df, field_checks(fields)))
 
 
 def missing_pairs(df: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -129,20 +150,90 @@ def model_checks(folds, provisional: str) -> list[Check]:
     return [
         *not_null("territory_id", "target_month_id", "target_date_month", "evaluation_split", "data_quality_flag"),
         allowed("evaluation_split", ["train", *(f.name for f in folds)]),
-        allowed("data_quality_flag", ["ok", "missing_target", "missing_lag", "insufficient_history", "provisional_target"]),
+        allowed("data_quality_flag", ["ok", "missing_target", "missing_lag", "insufficient_history", "provisional_target", "outlier_review"]),
         *inside,
         *outside,
         rows_where("provisional_outside", c("is_provisional") & (c("evaluation_split") != provisional)),
+        rows_where("not_provisional_inside", (c("evaluation_split") == provisional) & ~F.coalesce("is_provisional", F.lit(False))),
         rows_where("train_after_folds", (c("evaluation_split") == "train") & (c("target_date_month") >= F.lit(folds[0].start))),
     ]
 
 
-def temporal_integrity(gold: DataFrame, model: DataFrame, specs: list[tuple[str, int, str]], tolerance: float = 1e-6) -> DataFrame:
-    """Lags recomputed by self-joins, apart from the windows that made them."""
-    out = model
-    for value, k, name in specs:
-        out = panel.calendar_lag_join(out, gold, value, k, f"_{name}")
-    return run(out, [equal_within(f"recomputed:{n}", F.col(n), F.col(f"_{n}").cast("double"), tolerance) for _, _, n in specs])
+MODEL_COUNTS = (
+    ["target_overnight_stays_total"] + [f"lag_{k}_overnight_stays" for k in (1, 3, 12)] + [f"rolling_mean_{k}m_overnight_stays" for k in (3, 12)]
+    + [f"lag_{k}_average_stay" for k in (1, 12)] + [f"lag_1_{x}" for x in ("places_estimated", "establishments_estimated", "staff_employed")]
+)
+MODEL_PERCENT = ["target_occupancy_rate_pct", "lag_1_occupancy_rate_pct", "lag_12_occupancy_rate_pct", "lag_1_weekend_occupancy_rate_pct"]
+MODEL_SHARES = [f"lag_1_{x}_overnight_stays_share" for x in ("domestic", "foreign")]
+TRACES = ["source_snapshot_id", "pipeline_run_id", "data_version", "created_at"]
+
+
+def model_value_checks(territories: int | None = None, level: str = "province", traces: bool = True) -> list[Check]:
+    """Horizon, level, ranges, share pairs, dates and traceability of the modelling table."""
+    c = F.col
+    out = [
+        rows_where("forecast_horizon", c("forecast_horizon") != 1),
+        rows_where("territory_level", c("territory_level") != level),
+        *non_negative(*MODEL_COUNTS),
+        *(in_range(x, 0, 100) for x in MODEL_PERCENT),
+        *(in_range(x, 0, 1) for x in MODEL_SHARES),
+        rows_where("shares_sum:lag_1", F.abs(c(MODEL_SHARES[0]) + c(MODEL_SHARES[1]) - 1) > 1e-6),
+        rows_where("month_id_matches", c("target_month_id") != X.month_id("target_date_month")),
+        rows_where("month_start", F.dayofmonth("target_date_month") != 1),
+    ]
+    if territories is not None:
+        out.append(Check("territory_count", F.abs(F.count_distinct("territory_id") - territories)))
+    return out + ([*not_null(*TRACES), *map(one_value, TRACES)] if traces else [])
+
+
+def gold_dataset_checks(territories: int, level: str, first_month: str) -> list[Check]:
+    """Facts about the whole table: territories, level, first month, provisional marks, unused context."""
+    return [
+        Check("territory_count", F.abs(F.count_distinct("territory_id") - territories)),
+        rows_where("territory_level", F.col("territory_level") != level),
+        Check("first_month", F.when(F.min("month_id") == first_month, 0).otherwise(1)),
+        rows_where("status_matches", F.col("data_status") != X.data_status("is_provisional")),
+        *map(one_value, ["source_snapshot_id", "demand_snapshot_id", "supply_snapshot_id", "pipeline_run_id", "data_version"]),
+    ]
+
+
+def context_unused(columns: list[str]) -> list[Check]:
+    """Placeholders without a value are a warning."""
+    return [Check(f"context:{x}", F.when(F.count(x) == 0, 1).otherwise(0), "warn") for x in columns]
+
+
+def missing_months(df: DataFrame, calendar: DataFrame, documented_months: list[str]) -> DataFrame:
+    """Months of the calendar without a row, but for the documented ones, as a check."""
+    gone = calendar.select("month_id").subtract(df.select("month_id")).where(~F.col("month_id").isin(*documented_months) if documented_months else F.lit(True))
+    n = gone.agg(F.count("*").alias("violations"))
+    return n.select(F.lit("continuity").alias("check"), F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status"), F.lit("fail").alias("severity"), "violations")
+
+
+def recomputed(gold: DataFrame, lags: list[tuple[str, int, str]], windows: tuple[int, ...] = (3, 12), value: str = "overnight_stays_total") -> DataFrame:
+    """All lags, complete-window means and the change from lag 13 to lag 1, apart from the windows that made them.
+
+    Each source row goes to the months after it on which it bears, and one aggregation by
+    territory and month picks them up: no join, whatever the number of lags.
+    """
+    measures = sorted({m for m, _, _ in lags} | {value})
+    ahead = sorted({k for _, k, _ in lags} | set(range(1, max(windows) + 1)) | {1, 13})
+    k = F.col("_k")
+    rows = gold.select("territory_id", "date_month", *(F.col(m).cast("double").alias(m) for m in measures), F.explode(F.array(*map(F.lit, ahead))).alias("_k"))
+    at = lambda m, n: F.max(F.when(k == n, F.col(m)))
+    inside = lambda w: F.when(k.between(1, w), F.col(value))
+    out = rows.groupBy("territory_id", F.expr("add_months(date_month, _k)").alias("target_date_month")).agg(
+        *(at(m, n).alias(f"_{name}") for m, n, name in lags),
+        *(F.when(F.count(inside(w)) == w, F.avg(inside(w))).alias(f"_rolling_mean_{w}m_overnight_stays") for w in windows),
+        X.pct_change_nonzero(at(value, 1), at(value, 13)).alias("_yoy_change_overnight_stays"),
+    )
+    return out
+
+
+def temporal_integrity(gold: DataFrame, model: DataFrame, lags: list[tuple[str, int, str]], windows: tuple[int, ...] = (3, 12), tolerance: float = 1e-6) -> DataFrame:
+    """Every historical feature of ``model`` against ``recomputed``, in one join."""
+    names = [n for _, _, n in lags] + [f"rolling_mean_{w}m_overnight_stays" for w in windows] + ["yoy_change_overnight_stays"]
+    both = model.join(recomputed(gold, lags, windows), ["territory_id", "target_date_month"], "left")
+    return run(both, [equal_within(f"recomputed:{n}", F.col(n), F.col(f"_{n}"), tolerance) for n in names])
 
 
 def exit_code(results: DataFrame) -> int:

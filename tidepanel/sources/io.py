@@ -28,13 +28,28 @@ class Source:
     url: str
     label: str
     parameters: dict = field(default_factory=dict)
+    enabled: bool = True
 
 
+_TABLES = "https://www.ine.es/jaxiT3/files/t/es/csv_bdsc/{}.csv?nocab=1"
 SOURCES = {
     s.source_id: s
     for s in (
-        Source("2073", "demand", "national statistics", "", "demand_2073", {"table": 2073}),
-        Source("2070", "supply", "national statistics", "", "supply_2070", {"table": 2070}),
+        Source("2073", "demand", "national statistics", _TABLES.format(2073), "demand_2073", {"table": 2073}),
+        Source("2070", "supply", "national statistics", _TABLES.format(2070), "supply_2070", {"table": 2070}),
+    )
+}
+#: Catalogued but not read by any step.
+DISABLED = {
+    s.source_id: s
+    for s in (
+        Source("1995", "demand by region", "national statistics", "", "demand_region_1995", {"table": 1995}, False),
+        Source("2046", "supply by region", "national statistics", "", "supply_region_2046", {"table": 2046}, False),
+        Source("2060", "price index", "national statistics", "", "prices_2060", {"table": 2060}, False),
+        Source("residents", "trips of residents", "national statistics", "", "residents", {}, False),
+        Source("10839", "spending of visitors", "national statistics", "", "spending_10839", {"table": 10839}, False),
+        Source("businesses", "tourism businesses", "national statistics", "", "businesses", {}, False),
+        Source("climate", "climate", "weather service", "", "climate", {}, False),
     )
 }
 
@@ -130,6 +145,31 @@ def unregistered(snapshots: DataFrame, log: DataFrame) -> DataFrame:
     return snapshots.select("source_snapshot_id").distinct().join(log.select(F.col("file_hash").alias("source_snapshot_id")), "source_snapshot_id", "left_anti")
 
 
+def traced(spark: SparkSession, snapshots: DataFrame, log: DataFrame, folder: str) -> DataFrame:
+    """Three checks of a table's snapshot ids: each is logged, its file is there, and the file's hash is the id."""
+    ids = snapshots.select("source_snapshot_id").distinct()
+    logged = log.select(F.col("file_hash").alias("source_snapshot_id"), F.element_at(F.split("raw_file_path", "/"), -1).alias("file_name")).dropDuplicates(["source_snapshot_id"])
+    found = fingerprints(spark, folder, "*").select("file_name", F.col("file_hash").alias("now"))
+    one = ids.join(logged, "source_snapshot_id", "left").join(found, "file_name", "left").agg(
+        F.count_if(F.col("file_name").isNull()).alias("snapshot_logged"),
+        F.count_if(F.col("file_name").isNotNull() & F.col("now").isNull()).alias("snapshot_file"),
+        F.count_if(F.col("now") != F.col("source_snapshot_id")).alias("snapshot_hash"),
+    )
+    rows = F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in one.columns))
+    out = one.select(F.explode(rows).alias("r"))
+    return out.select("r.check", F.when(F.col("r.violations") == 0, "PASS").otherwise("FAIL").alias("status"), F.lit("fail").alias("severity"), "r.violations")
+
+
+def replace(spark: SparkSession, staged: str, path: str) -> None:
+    """A written and checked table takes the place of the last one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    if not fs.rename(hadoop.Path(staged), target):
+        raise OSError(f"{staged} can't be moved to {path}")
+
+
 def write_parquet(df: DataFrame, path: str, order: list[str] | None = None, single: bool = False) -> None:
     """Overwrite; ``single`` gives one ordered file, else a range-sorted table."""
     if order:
