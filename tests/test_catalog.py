@@ -8,7 +8,7 @@ import pytest
 from tidepanel.plans import catalog, proxy
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["metrics_by_split", "gold_rule_checks", "modeling_table", "tourism_pressure_index", "paired_metrics_by_territory", "missing_territory_months", "territory_parse", "latest_revision"]
+NAMES = ["metrics_by_split", "gold_rule_checks", "modeling_table", "tourism_pressure_index", "paired_metrics_by_territory", "missing_territory_months", "territory_parse", "latest_revision", "temporal_integrity", "schema_contract_checks", "processed_gate", "calendar_gate", "pct_rank_avg", "supply_wide_pivot"]
 
 
 def norm(v):

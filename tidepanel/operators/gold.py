@@ -47,7 +47,8 @@ def demand_wide(long: DataFrame) -> DataFrame:
 
 
 def supply_wide(long: DataFrame) -> DataFrame:
-    return long.groupBy(*KEY).pivot("metric", SUPPLY).agg(F.first("value", ignorenulls=True))
+    """As ``demand_wide``; a pivot would aggregate and shuffle twice."""
+    return long.groupBy(*KEY).agg(*(F.first(F.when(F.col("metric") == m, F.col("value")), ignorenulls=True).alias(m) for m in SUPPLY))
 
 
 def with_ratios(df: DataFrame) -> DataFrame:

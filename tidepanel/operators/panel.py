@@ -91,9 +91,9 @@ def row_lag(value: Column | str, rows: int, by: str = "territory_id", order: str
 def percentile_rank_average(value: Column | str, by: list[str]) -> Column:
     """Average-tie percentile rank, 0-100; NULLs neither rank nor count."""
     v = X.c(value)
-    rank = F.rank().over(W.partitionBy(*by).orderBy(v.asc_nulls_last()))
-    ties = F.count(v).over(W.partitionBy(*by, v))
-    return F.when(v.isNotNull(), (rank + (ties - 1) / 2) / F.count(v).over(W.partitionBy(*by)) * 100)
+    w = W.partitionBy(*by).orderBy(v.asc_nulls_last())
+    last = F.count(v).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))  # counts the row's ties too: one sort serves both
+    return F.when(v.isNotNull(), (F.rank().over(w) + last) / 2 / F.count(v).over(W.partitionBy(*by)) * 100)
 
 
 def continuity(calendar: DataFrame, date: str = "date_month") -> DataFrame:
