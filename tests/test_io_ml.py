@@ -110,6 +110,23 @@ def test_ridge_equals_the_closed_form(spark, alpha):
     assert max(abs(a - b) for a, b in zip(got, want)) < 1e-6
 
 
+def test_the_grid_equals_single_fits(spark):
+    from tidepanel.config import Fold
+
+    fold = Fold("test", date(2023, 1, 1), date(2023, 12, 1))
+    rng = np.random.default_rng(8)
+    rows = [(t, t, f"{y}-{m:02d}", date(y, m, 1), "train" if y < 2023 else "test", float(m * 3 + 10 * (t == "B") + rng.normal()), float(m), False, m) for t in "AB" for y in range(2020, 2024) for m in range(1, 13)]
+    names = "territory_id string, territory_name string, target_month_id string, target_date_month date, evaluation_split string, target_overnight_stays_total double, lag_12_overnight_stays double, is_provisional boolean, month int"
+    df = spark.createDataFrame(rows, names)
+    got = {(r.model, r.territory_id, r.target_month_id): r.model_prediction_raw for r in ml.ridge_predictions(df, [fold], [0.1, 100.0], ["lag_12_overnight_stays"], ["territory_id"]).collect()}
+    assert len(got) == 48
+    prepared = ml._rows(df, ["lag_12_overnight_stays"], ["territory_id"], [])
+    for alpha in (0.1, 100.0):
+        one = ml.Ridge(["lag_12_overnight_stays"], ["territory_id"], alpha).fit(prepared.where("evaluation_split = 'train'"))
+        for r in one.transform(prepared.where("evaluation_split = 'test'")).collect():
+            assert abs(got[report.slug("ridge", alpha), r.territory_id, r.target_month_id] - r.model_prediction_raw) < 1e-9
+
+
 def test_unseen_category_is_all_zeros(spark):
     train = spark.createDataFrame([("x", 1.0, 1.0), ("y", 2.0, 2.0), ("x", 3.0, 1.5), ("y", 4.0, 3.0)], "c string, a double, actual double")
     model = ml.Ridge(["a"], ["c"], 1.0).fit(train)

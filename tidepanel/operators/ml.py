@@ -1,12 +1,18 @@
-"""Regression candidates over expanding folds: Ridge with ``pyspark.ml``, boosted trees a fold a task."""
+"""Regression candidates over expanding folds.
+
+``Ridge`` fits one model of any size with ``pyspark.ml``. A back-test fits many small ones:
+a fold has a few thousand rows, which more years and not more data make longer, so that
+each fold is a task that fits all its candidates, and the folds run side by side.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.config import Fold
@@ -50,8 +56,7 @@ class Ridge:
             out = out.withColumn(f"{x}_m", (F.col(x).isNull().cast("double") - self.mean[f"{x}?"]) / self.scale[f"{x}?"])
         return out
 
-    def prepare(self, train: DataFrame, label: str = "actual") -> Ridge:
-        """Medians, means and scales of ``train``, and its feature vectors: the same for every alpha."""
+    def fit(self, train: DataFrame, label: str = "actual") -> Ridge:
         med = train.agg(*(F.percentile(x, 0.5).alias(x) for x in self.numeric), *(F.count_if(F.col(x).isNull()).alias(f"{x}?") for x in self.numeric)).first()
         self.median = {x: med[x] if med[x] is not None else 0.0 for x in self.numeric}
         self.indicated = [x for x in self.numeric if med[f"{x}?"]]
@@ -62,35 +67,23 @@ class Ridge:
         ).first()
         self.mean = {n: stats[f"m{i}"] for i, (n, _) in enumerate(filled)}
         self.scale = {n: stats[f"s{i}"] or 1.0 for i, (n, _) in enumerate(filled)}
-        self.per_alpha, self.label = (stats["sy"] or 1.0) / stats["n"], label
         inputs = [f"{x}_f" for x in self.numeric] + [f"{x}_m" for x in self.indicated] + [f"{x}_v" for x in self.categorical]
-        stages = (encoder(self.categorical) if self.categorical else []) + [VectorAssembler(inputCols=inputs, outputCol="features")]
-        self.design = Pipeline(stages=stages).fit(self._design(train))
-        self.vectors = self.features(train).select("features", label)
-        return self
-
-    def features(self, df: DataFrame) -> DataFrame:
-        return self.design.transform(self._design(df))
-
-    def solve(self, alpha: float):
-        """The linear model at ``alpha`` over the prepared vectors."""
-        return LinearRegression(
-            labelCol=self.label, featuresCol="features", predictionCol="model_prediction_raw", solver="normal", elasticNetParam=0.0, standardization=False,
-            regParam=alpha * self.per_alpha,
-        ).fit(self.vectors)
-
-    def fit(self, train: DataFrame, label: str = "actual") -> Ridge:
-        self.model = self.prepare(train, label).solve(self.alpha)
+        linear = LinearRegression(
+            labelCol=label, featuresCol="features", predictionCol="model_prediction_raw", solver="normal", elasticNetParam=0.0, standardization=False,
+            regParam=self.alpha * (stats["sy"] or 1.0) / stats["n"],
+        )
+        stages = (encoder(self.categorical) if self.categorical else []) + [VectorAssembler(inputCols=inputs, outputCol="features"), linear]
+        self.model = Pipeline(stages=stages).fit(self._design(train))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.features(df))
+        return self.model.transform(self._design(df))
 
 
-def _named(predicted: DataFrame, name: str) -> DataFrame:
+def _named(predicted: DataFrame, name: Column) -> DataFrame:
     """Clipped at zero; the raw prediction is kept."""
     return predicted.select(
-        *KEYS, F.lit(name).alias("model"), "actual", F.col("lag_12_overnight_stays").alias("baseline_prediction"),
+        *KEYS, name.alias("model"), "actual", F.col("lag_12_overnight_stays").alias("baseline_prediction"),
         "model_prediction_raw", X.clip("model_prediction_raw", low=0).alias("model_prediction"),
     )
 
@@ -99,53 +92,65 @@ def _rows(model: DataFrame, numeric: list[str], categorical: list[str], boolean:
     return prepared(model.where(evaluate.evaluable()), numeric, categorical, boolean).withColumn("actual", F.col("target_overnight_stays_total"))
 
 
-def ridge_predictions(model: DataFrame, folds: list[Fold], alphas: list[float], numeric: list[str], categorical: list[str], boolean: list[str] = []) -> DataFrame:
-    """Every alpha on every fold, fitted on the fold's past. ``model`` should be a stored table."""
-    df, out = _rows(model, numeric, categorical, boolean), None
-    for fold in folds:
-        train = evaluate.train_rows(df, fold).persist()
-        try:
-            if train.isEmpty():
-                raise ValueError(f"{fold.name}: no training rows")
-            ridge = Ridge(numeric, categorical, alphas[0]).prepare(train)
-            fitted = [(alpha, ridge.solve(alpha)) for alpha in alphas]
-        finally:
-            train.unpersist()
-        vectors = ridge.features(evaluate.fold_rows(df, fold))
-        for alpha, linear in fitted:
-            part = _named(linear.transform(vectors), slug("ridge", alpha))
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
-def boosted_predictions(
-    model: DataFrame, folds: list[Fold], numeric: list[str], categorical: list[str], boolean: list[str] = [], name: str = "boosted_trees", **settings
-) -> DataFrame:
-    """Boosted trees on every fold, a task each, fitted on the fold's past.
-
-    Categories are one-hot by those that the training rows have: an unseen one is all zeros.
-    """
+def _by_fold(model: DataFrame, folds: list[Fold], numeric: list[str], categorical: list[str], boolean: list[str], predict) -> DataFrame:
+    """``predict(train, rest)`` of each fold's past and rows, a task a fold; it returns (model, raw predictions) pairs."""
     df = _rows(model, numeric, categorical, boolean)
     roles = [F.when(F.col("target_date_month") <= F.lit(f.train_end), F.struct(F.lit(f.name).alias("fold"), F.lit(True).alias("train"))) for f in folds]
     roles += [F.when(F.col("evaluation_split") == f.name, F.struct(F.lit(f.name).alias("fold"), F.lit(False).alias("train"))) for f in folds]
-    used = df.withColumn("role", F.explode(F.array_compact(F.array(*roles))))
-    columns = list(dict.fromkeys([*KEYS, *numeric, *categorical, "actual", "lag_12_overnight_stays"]))
+    kept, more = [*KEYS, "actual", "lag_12_overnight_stays"], [*numeric, *categorical]
+    used = df.withColumn("role", F.explode(F.array_compact(F.array(*roles)))).select(*dict.fromkeys([*kept, *more]), "role.*")
 
-    def fit(rows):
+    def run(rows):
         rows = rows.sort_values(["territory_id", "target_date_month"])
         train, rest = rows[rows["train"]], rows[~rows["train"]]
         if not len(rest):
-            return rest[KEYS + ["actual", "lag_12_overnight_stays"]].assign(model_prediction_raw=0.0)
+            return rest[kept].assign(model_name="", model_prediction_raw=0.0)
         if not len(train):
             raise ValueError(f"{rest['fold'].iloc[0]}: no training rows")
+        return pd.concat([rest[kept].assign(model_name=name, model_prediction_raw=raw) for name, raw in predict(train, rest)])
 
-        def matrix(part):
-            hot = [(part[c] == v).to_numpy(float) for c in categorical for v in sorted(train[c].unique())]
-            return np.column_stack([*(part[x].to_numpy(float) for x in numeric), *hot])
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", model_name string, model_prediction_raw double"
+    return _named(used.groupBy("fold").applyInPandas(run, schema), F.col("model_name"))
 
-        raw = Boosting(**settings).fit(matrix(train), train["actual"].to_numpy(float)).predict(matrix(rest))
-        return rest[KEYS + ["actual", "lag_12_overnight_stays"]].assign(model_prediction_raw=raw)
 
-    types = dict(df.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*KEYS, "actual", "lag_12_overnight_stays"]) + ", model_prediction_raw double"
-    return _named(used.select(*columns, "role.*").groupBy("fold").applyInPandas(fit, schema), name)
+def _one_hot(train: pd.DataFrame, part: pd.DataFrame, categorical: list[str]) -> list[np.ndarray]:
+    """A column for each category that the training rows have: an unseen one is all zeros."""
+    return [(part[c] == v).to_numpy(float) for c in categorical for v in sorted(train[c].unique())]
+
+
+def ridge_predictions(model: DataFrame, folds: list[Fold], alphas: list[float], numeric: list[str], categorical: list[str], boolean: list[str] = []) -> DataFrame:
+    """Every alpha on every fold: ``Ridge`` in closed form, all alphas of a fold from one eigen-decomposition."""
+
+    def predict(train, rest):
+        x = {k: train[k].to_numpy(float) for k in numeric}
+        median = {k: float(np.nanmedian(v)) if not np.isnan(v).all() else 0.0 for k, v in x.items()}
+        indicated = [k for k in numeric if np.isnan(x[k]).any()]
+
+        def design(part):
+            cols = [np.where(np.isnan(v), median[k], v) for k, v in ((k, part[k].to_numpy(float)) for k in numeric)]
+            return np.column_stack([*cols, *(np.isnan(part[k].to_numpy(float)).astype(float) for k in indicated)])
+
+        scaled = design(train)
+        mean, scale = scaled.mean(axis=0), scaled.std(axis=0)
+        scale[scale == 0] = 1.0
+        full = lambda part: np.column_stack([(design(part) - mean) / scale, *_one_hot(train, part, categorical)])
+        a, y = full(train), train["actual"].to_numpy(float)
+        center = a.mean(axis=0)
+        values, vectors = np.linalg.eigh((a - center).T @ (a - center))
+        right, b = vectors.T @ ((a - center).T @ (y - y.mean())), full(rest) - center
+        return [(slug("ridge", alpha), b @ (vectors @ (right / (np.maximum(values, 0.0) + alpha))) + y.mean()) for alpha in alphas]
+
+    return _by_fold(model, folds, numeric, categorical, boolean, predict)
+
+
+def boosted_predictions(
+    model: DataFrame, folds: list[Fold], numeric: list[str], categorical: list[str], boolean: list[str] = [], name: str = "boosted_trees", **settings
+) -> DataFrame:
+    """Boosted trees on every fold, fitted on the fold's past."""
+
+    def predict(train, rest):
+        matrix = lambda part: np.column_stack([*(part[k].to_numpy(float) for k in numeric), *_one_hot(train, part, categorical)])
+        return [(name, Boosting(**settings).fit(matrix(train), train["actual"].to_numpy(float)).predict(matrix(rest)))]
+
+    return _by_fold(model, folds, numeric, categorical, boolean, predict)

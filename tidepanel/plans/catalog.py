@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel import session
 from tidepanel.functions import expr as X
 from tidepanel.operators import dims, evaluate, explore, features, gold, ml, normalize, panel, quality
 from tidepanel.plans import proxy as P
@@ -550,9 +549,8 @@ _NUM, _CAT, _BOOL = (list(x) for x in (P.CONFIG.numeric_features, P.CONFIG.categ
 
 @query("ridge_backtest")
 def _(spark, d):
-    """All alphas on all folds, fitted on the rows up to each fold; iterative, so without SQL."""
-    model = session.stored(P.model_table(spark, d), "model")
-    p = ml.ridge_predictions(model, list(P.CONFIG.folds[:4]), list(P.CONFIG.ridge_alphas), _NUM, _CAT, _BOOL)
+    """All alphas on all folds, fitted on the rows up to each fold; solved by linear algebra, so without SQL."""
+    p = ml.ridge_predictions(P.model_table(spark, d), list(P.CONFIG.folds[:4]), list(P.CONFIG.ridge_alphas), _NUM, _CAT, _BOOL)
     return evaluate.paired(p, ["model", "evaluation_split"])
 
 
