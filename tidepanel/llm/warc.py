@@ -22,6 +22,7 @@ NULL date as ``DATE``; other columns are ignored; an empty table makes an empty
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -45,10 +46,10 @@ CAPTURE = ["capture_id", "date", "digest", "uri"]
 
 # == archive files
 def filesystem(path: str):
-    """(file system, path in it) of a path or URI; a file:/ URI may have one slash."""
+    """(file system, path in it) of a path or URI as Spark writes them: file:/ with one slash, s3a://."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]://", "s3://", path)))
 
 
 def member(record: bytes) -> bytes:
