@@ -58,10 +58,14 @@ class PieceCounts(dict):
 
 
 class PieceTokens(PieceCounts):
-    """Pre-token -> its BPE tokens, as packed 32-bit integers."""
+    """Pre-token -> its BPE tokens, packed."""
+
+    def __init__(self, path: str, kind: str):
+        super().__init__(path)
+        self.kind = kind
 
     def __missing__(self, piece: str) -> bytes:
-        b = np.array(self.encoding.encode_ordinary(piece), np.int32).tobytes()
+        b = np.array(self.encoding.encode_ordinary(piece), self.kind).tobytes()
         if len(self) < MEMO_PIECES:
             self[piece] = b
         return b
@@ -73,6 +77,11 @@ def shipped(spark: SparkSession, tokenizer: str) -> str:
     return tokenizer.rsplit("/", 1)[-1]
 
 
+def token_kind(tokenizer: str) -> str:
+    """The packed type of a token: two bytes where the vocabulary fits."""
+    return "<u2" if len(Path(tokenizer).read_bytes().splitlines()) <= 1 << 16 else "<u4"
+
+
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) under the byte-level BPE at ``tokenizer``, which is sent to the workers."""
     name = shipped(documents.sparkSession, tokenizer)
@@ -90,24 +99,22 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def token_ids(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, version, n_tokens, tokens): as ``token_counts``, with the tokens; version is the text's hash."""
-    name = shipped(documents.sparkSession, tokenizer)
+    """(doc_id, version, n_tokens, tokens): as ``token_counts``, with the packed tokens; version is the text's hash."""
+    name, kind = shipped(documents.sparkSession, tokenizer), token_kind(tokenizer)
 
     def encode(batches):
         import regex
 
-        pieces, tokens = regex.compile(PATTERN), PieceTokens(SparkFiles.get(name))
+        pieces, tokens = regex.compile(PATTERN), PieceTokens(SparkFiles.get(name), kind)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 blobs = [b"".join(map(tokens.__getitem__, pieces.findall(t.as_py()))) if t.is_valid else b"" for t in batch.column("text")]
-                n = np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs))
-                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(n), lists], names=["doc_id", "version", "n_tokens", "tokens"])
+                n = [len(b) // int(kind[-1]) for b in blobs]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "version", "n_tokens", "tokens"])
 
     ids = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    return spread(ids).mapInArrow(encode, "doc_id long, version long, n_tokens long, tokens array<int>")
+    return spread(ids).mapInArrow(encode, "doc_id long, version long, n_tokens long, tokens binary")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -152,11 +159,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def best_fit(lengths: DataFrame, capacity: int = CAPACITY, cell_rows: int = CELL_ROWS) -> DataFrame:
+def best_fit(lengths: DataFrame, capacity: int = CAPACITY, cell_rows: int = CELL_ROWS, width: int = 0) -> DataFrame:
     """Slots for (doc_id, n_tokens, ...): (bin_id, start, doc_id, piece, n_tokens, ...).
 
-    ``lengths`` may have a ``version``, which orders the rows of an id, and ``tokens``,
-    of which each slot gets its piece's part.
+    ``lengths`` may have a ``version``, which orders the rows of an id, and ``tokens`` of
+    ``width`` bytes each, of which a slot gets its piece's part.
     """
     spark = lengths.sparkSession
     n, c = F.col("n_tokens"), F.lit(capacity)
@@ -164,7 +171,7 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY, cell_rows: int = CELL
     pieces = (
         lengths.where("doc_id is not null and n_tokens > 0")
         .select("doc_id", "n_tokens", *more, F.explode(F.sequence(F.lit(0), F.ceil(n / c).cast("int") - 1)).alias("piece"))
-        .select("doc_id", "piece", *(F.slice("tokens", F.col("piece") * c + 1, c).alias(x) if x == "tokens" else x for x in more), F.least(c.cast("long"), n - F.col("piece") * c).cast("int").alias("length"))
+        .select("doc_id", "piece", *(F.substring("tokens", F.col("piece") * (capacity * width) + 1, F.lit(capacity * width)).alias(x) if x == "tokens" else x for x in more), F.least(c.cast("long"), n - F.col("piece") * c).cast("int").alias("length"))
     )
     # at most ``capacity`` rows
     sizes = [(r.length, max(1, -(-r.n // cell_rows))) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()]
@@ -201,12 +208,27 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     return best_fit(cut(token_counts(documents, tokenizer), "lengths"), capacity)
 
 
-def sequences(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The bins, filled: (bin_id, n_tokens, doc_ids, pieces, starts, tokens), pieces in the order of their starts."""
-    slots = best_fit(cut(token_ids(documents, tokenizer), "tokens"), capacity)
+def sequences(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, cell_rows: int = CELL_ROWS // 10) -> DataFrame:
+    """The bins, filled: (bin_id, n_tokens, doc_ids, pieces, starts, tokens), pieces in the order of their starts.
+
+    Cells are smaller than those of ``pack_documents``, as their rows hold tokens.
+    """
+    kind = token_kind(tokenizer)
+    slots = best_fit(cut(token_ids(documents, tokenizer), "tokens"), capacity, cell_rows, int(kind[-1]))
     filled = slots.groupBy("bin_id").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "piece", "tokens"))).alias("slots"))
-    tokens = F.flatten("slots.tokens")
-    return filled.select("bin_id", F.size(tokens).alias("n_tokens"), F.col("slots.doc_id").alias("doc_ids"), F.col("slots.piece").alias("pieces"), F.col("slots.start").alias("starts"), tokens.alias("tokens"))
+    parts = filled.select("bin_id", F.col("slots.doc_id").alias("doc_ids"), F.col("slots.piece").alias("pieces"), F.col("slots.start").alias("starts"), F.col("slots.tokens").alias("parts"))
+
+    def unpack(batches):
+        for batch in batches:
+            lists = batch.column("parts")
+            blobs, ends = lists.flatten(), lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+            tokens = np.frombuffer(b"".join(x.as_py() for x in blobs), kind).astype(np.int32)
+            sizes = np.concatenate(([0], np.cumsum([len(x.as_py()) // int(kind[-1]) for x in blobs]))).astype(np.int32)
+            at = pa.array(sizes[ends])
+            n = pa.array(np.diff(sizes[ends]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("bin_id"), n, *(batch.column(c) for c in ("doc_ids", "pieces", "starts")), pa.ListArray.from_arrays(at, pa.array(tokens))], names=["bin_id", "n_tokens", "doc_ids", "pieces", "starts", "tokens"])
+
+    return parts.mapInArrow(unpack, "bin_id long, n_tokens int, doc_ids array<long>, pieces array<int>, starts array<int>, tokens array<int>")
 
 
 def brute(lengths: list[int], capacity: int) -> int:
