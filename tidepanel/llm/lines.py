@@ -201,13 +201,15 @@ def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: f
     found = cut(candidates(documents, min_docs, similarity), "candidates")
     at = cut(_occurrences(documents, found), "occurrences")
     hits = at.join(_enough(at, min_docs), "cluster", "left_semi").where("not (id = keep_doc and no = keep_line)")
-    by_id, drop, kept = (fresh(documents, n) for n in ("drops_id", "drops", "kept_text"))
+    by_id, drop, kept, lines = (fresh(documents, n) for n in ("drops_id", "drops", "kept_text", "text_lines"))
     drops = cut(hits.groupBy(F.col("id").alias(by_id)).agg(F.collect_set("no").alias(drop)), "drops")
-    lines = F.split("text", "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
-    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     # the same plan at every size: an automatic broadcast would switch to this one anyway
-    out = documents.join(drops.hint("merge"), F.col("doc_id") == F.col(by_id), "left").withColumn(kept, text)
+    out = documents.join(drops.hint("merge"), F.col("doc_id") == F.col(by_id), "left")
+    # the body of a lambda is computed for every element: an explode keeps the split below it,
+    # where the optimizer would otherwise put it back into the lambda
+    out = out.withColumn(lines, F.explode(F.array(F.when(F.col(drop).isNotNull(), F.split("text", "\n")))))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(F.col(lines), i))
+    out = out.withColumn(kept, F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     out = out.where(F.col(drop).isNull() | F.col(kept).rlike(r"\S"))
     own = [(c, t) for c, t in documents.dtypes if c != "n_dropped"]
     cols = [F.col(kept).alias(c) if c == "text" else F.length(kept).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in own]
