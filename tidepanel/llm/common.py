@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words remembered by a Python worker before its memo is emptied.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Tokens that a worker turns into arrays at once.
-CHUNK_TOKENS = 600_000
+CHUNK_TOKENS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ CELL_ROWS = 500_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Pieces of text whose token counts a worker remembers.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 200_000
 SLOTS = "length int, rank_from long, rank_to long, bin_from long, per_bin int, start int"
 
 
