@@ -1,7 +1,6 @@
 """Every operator against a brute-force version, and on its edge cases."""
 
 import hashlib
-import itertools
 import random
 import zlib
 
@@ -285,26 +284,52 @@ def test_duplicates_recall_against_brute_force(spark):
     assert kept == {d for d, _ in rows} - set(got)
 
 
-def apart(bits, n=3000):
-    rng = np.random.default_rng(6)
-    lanes = rng.integers(0, 1 << 64, (n, simhash.LANES), dtype=np.uint64)
-    other = lanes.copy()
-    for row in other:
-        at = rng.choice(simhash.BITS, bits, replace=False)
-        np.bitwise_xor.at(row, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
-    close = np.bitwise_count(simhash.index_sketches(lanes) ^ simhash.index_sketches(other)) <= simhash.SKETCH_BITS
-    return ((simhash.index_keys(lanes) == simhash.index_keys(other)) & close).any(axis=1).mean()
-
-
-def test_filter_by_distance():
-    assert apart(59) == 1 and apart(100) > 0.99
-    assert apart(simhash.MAX_BITS) >= 0.9  # no band below the limit has less
+def flipped(sig, bits):
+    out = sig.copy()
+    for at in bits:
+        out[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    return out
 
 
-def test_every_four_positions_hold_a_triple():
-    for four in itertools.combinations(range(8), 4):
-        assert any(set(t) <= set(four) for t in simhash.TRIPLES)
-    assert len(simhash.TRIPLES) == 20
+def hard_signatures(rng):
+    """Pairs at and just beyond the limit, and a hub that is too far from members near each other."""
+    fresh = lambda: rng.integers(0, 1 << 64, simhash.LANES, dtype=np.uint64)
+    even = lambda n: [int(x) * simhash.BITS // n + int(rng.integers(0, simhash.BITS // n)) for x in range(n)]
+    out = []
+    for k in range(60):
+        base, n = fresh(), simhash.MAX_BITS + k % 2
+        out += [base, flipped(base, even(n) if k % 3 else rng.choice(simhash.BITS, n, replace=False).tolist())]
+    for _ in range(20):
+        hub, bits = fresh(), rng.permutation(simhash.BITS)
+        out += [hub, flipped(hub, bits[:130].tolist()), flipped(hub, bits[100:230].tolist()), flipped(hub, bits[20:140].tolist())]
+    return np.array(out)
+
+
+def test_no_link_within_the_limit_is_left_out(spark, monkeypatch):
+    sig = hard_signatures(np.random.default_rng(70))
+    table = spark.createDataFrame([(d, d, s.tobytes()) for d, s in enumerate(sig)], "doc_id long, version long, s binary")
+    monkeypatch.setattr(simhash, "signatures", lambda documents: table)
+    want = groups(near(sig), range(len(sig)))
+    assert len(want) > 60
+    for sizes in ({}, {"FEW": 0}, {"FEW": 0, "CHUNK": 70}):  # all pairs, the index, and the index by pairs of chunks
+        for name, value in sizes.items():
+            monkeypatch.setattr(simhash, name, value)
+        assert {r.doc_id: r.duplicate_of for r in simhash.duplicates(docs(spark, [])).collect()} == want
+
+
+def test_index_meets_all_words_within_the_limit():
+    rng = np.random.default_rng(71)
+    words = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    for k in range(1, 400, 2):
+        words[k] = flipped(words[k - 1 : k], rng.choice(64, k % 13, replace=False).tolist())[0]
+    words[100:150] = words[99] ^ (np.uint64(1) << rng.integers(0, 64, 50).astype(np.uint64))  # a hot list
+    bits = np.bitwise_count(words[:, None] ^ words)
+    for limit in (0, 1, 2, 5, 9, 10):
+        met = [p for i, j in simhash.within(words, None, limit) for p in zip(i.tolist(), j.tolist())]
+        assert {(min(p), max(p)) for p in met} == {(a, b) for a, b in zip(*np.nonzero(bits <= limit)) if a < b}
+        met = {p for i, j in simhash.within(words[:150], words[150:], limit) for p in zip(i.tolist(), j.tolist())}
+        assert met == set(zip(*np.nonzero(bits[:150, 150:] <= limit)))
+    assert sum(x + 1 for x in simhash.shares(simhash.MAX_BITS + 1, simhash.LANES)) == simhash.MAX_BITS + 1
 
 
 def test_linked_spans_the_whole_list():
@@ -314,16 +339,6 @@ def test_linked_spans_the_whole_list():
     assert groups(simhash.linked(lanes, simhash.MAX_BITS), range(300)) == groups(near(lanes), range(300))
 
 
-def test_candidates_connect_what_is_near():
-    rng = np.random.default_rng(48)
-    key = np.sort(rng.integers(0, 60, 200))
-    sketch = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
-    sketch[1::3] = sketch[::3][: len(sketch[1::3])] ^ np.uint64(7)
-    want = [(a, b) for a in range(200) for b in range(a) if key[a] == key[b] and int(sketch[a] ^ sketch[b]).bit_count() <= simhash.SKETCH_BITS]
-    assert groups(simhash.met(key, sketch).tolist(), range(200)) == groups(want, range(200)) and len(want) > 20
-    assert len(simhash.met(key[:0], sketch[:0])) == 0
-
-
 def test_groups_of_many_edited_copies(spark):
     rng = random.Random(51)
     rows, d = [], 0
