@@ -332,6 +332,52 @@ def test_index_meets_all_words_within_the_limit():
     assert sum(x + 1 for x in simhash.shares(simhash.MAX_BITS + 1, simhash.LANES)) == simhash.MAX_BITS + 1
 
 
+def test_index_compares_few_unrelated_words(monkeypatch):
+    rng, compared, count = np.random.default_rng(72), [], np.bitwise_count
+    words = rng.integers(0, 1 << 64, 30_000, dtype=np.uint64)
+    for k in range(1, 2000, 2):
+        words[k] = flipped(words[k - 1 : k], rng.choice(64, 9, replace=False).tolist())[0]
+
+    def counted(x):
+        compared.append(x.size * (x.dtype == np.uint64))
+        return count(x)
+
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    met = {(min(p), max(p)) for i, j in simhash.within(words, None, 9) for p in zip(i.tolist(), j.tolist())}
+    assert met >= {(k - 1, k) for k in range(1, 2000, 2)}
+    assert sum(compared) < 0.0002 * len(words) ** 2  # lists of near keys compare ten times as many
+
+
+def test_masks_leave_out_any_bits_within_the_limit():
+    rng = np.random.default_rng(73)
+    for width, bits in ((7, 0), (12, 3), (45, 6), (46, 7)):
+        m = simhash.masks(width, bits)
+        assert len(m) <= (2 << bits) - 1 and all(0 < x < 1 << width for x in m.tolist())
+        for _ in range(300):
+            out = sum(1 << int(x) for x in rng.choice(width, bits, replace=False))
+            assert any(x & out == 0 for x in m.tolist())
+
+
+def test_any_two_points_of_a_plane_have_a_line():
+    for n, q in ((1, 1), (10, 1), (11, 2), (25, 3), (41, 5), (61, 7), (75, 11)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(simhash, "CHUNK", 10)
+            assert simhash.plane(n) == q
+        lines = np.array(simhash.lines_of(np.arange(q * q), q)).T
+        assert (lines[:, None, :] == lines[None]).any(axis=2).all()
+        assert set(np.bincount(lines.ravel())) == {q}
+
+
+def test_long_runs_are_met_by_label(monkeypatch):
+    rng = np.random.default_rng(74)
+    words = np.repeat(rng.integers(0, 1 << 45, 12, dtype=np.uint64), rng.integers(1, 60, 12))
+    label = rng.integers(0, 4, len(words)).astype(np.int32)
+    want = {(a, b) for a, b in zip(*np.nonzero((words[:, None] == words) & (label[:, None] != label))) if a < b}
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
+    met = {(min(p), max(p)) for i, j in simhash.within(words, None, 0, 45, label=label) for p in zip(i.tolist(), j.tolist())}
+    assert met == want and len(want) > 1000
+
+
 def test_linked_spans_the_whole_list():
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**63, (5, simhash.LANES), dtype=np.uint64)
